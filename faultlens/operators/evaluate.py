@@ -192,7 +192,8 @@ def compare_models(
             one = registry.filter(F.col("model_key") == name)
             return settle(benchmark(rows.select("model", "id", "scores", "y"), one, ks).select(empty.columns))
         except Exception as failure:  # noqa: BLE001 - any failure is this model's result
-            text = str(failure).splitlines()[0] if str(failure) else type(failure).__name__
+            lines = [line.strip() for line in str(failure).splitlines() if line.strip()]
+            text = lines[0] if lines else type(failure).__name__
             return spark.createDataFrame([(name, text)], "model string, error string")
 
     with ThreadPoolExecutor(max_workers=at_once) as pool:

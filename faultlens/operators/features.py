@@ -115,7 +115,7 @@ def tfidf_ml_vectors(df: DataFrame, weights: DataFrame, terms: str = "terms", ou
         raise ValueError("vocabulary too large for vectors; use the long form from tfidf()")
     held = sorted((r["term"], r["idf"]) for r in rows)
     counter = CountVectorizerModel.from_vocabulary([t for t, _ in held], terms, "_counts")
-    scale = ElementwiseProduct(Vectors.dense([w for _, w in held]), inputCol="_counts", outputCol="_weighted")
+    scale = ElementwiseProduct(scalingVec=Vectors.dense([w for _, w in held]), inputCol="_counts", outputCol="_weighted")
     unit = Normalizer(p=2.0, inputCol="_weighted", outputCol=out)
     vectors = unit.transform(scale.transform(counter.transform(df)))
     return vectors.drop("_counts", "_weighted"), [t for t, _ in held]

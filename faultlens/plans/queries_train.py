@@ -1 +1,143 @@
-"""x"""
+"""Training and search queries. Fitted models have no SQL; their parts that do are checked."""
+
+from __future__ import annotations
+
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import functions as F
+
+from faultlens.operators import evaluate as G
+from faultlens.operators import features as X
+from faultlens.operators import linear as L
+from faultlens.operators import search as H
+from faultlens.operators import split as D
+from faultlens.operators import trees as M
+from faultlens.operators.sizing import settle
+from faultlens.plans import stand_ins as S
+from faultlens.plans.flagship import centroid_scores, model_scores
+from faultlens.plans.queries_evaluate import MAP, rounded
+from faultlens.plans.registry import cte, query, r6
+
+N_LABELS, N_DIMS = 10, 64
+
+
+def features(spark, folder):
+    """Scaled vectors with multi-hot labels, written once because every step reads them."""
+    rows = S.embeddings(spark, folder)
+    scaled = X.apply_scaler(rows, X.fit_scaler(rows))
+    return settle(scaled.withColumnRenamed("embedding", "features"))
+
+
+def measured(name: str, scored):
+    return rounded(G.ranking_metrics(scored.withColumn("model", F.lit(name)), ["model"]))
+
+
+cte("label_totals", "SELECT label_idx, count(*) AS n, sum(y) AS pos FROM ranked_rows WHERE model = 'raw' GROUP BY 1")
+
+
+@query(
+    "class_weights",
+    f"SELECT label_idx::INTEGER AS label_idx, 1 AS class, pos::BIGINT AS n_rows, {r6('n / (2.0 * pos)::DOUBLE')} AS weight"
+    " FROM label_totals WHERE pos > 0 UNION ALL"
+    f" SELECT label_idx::INTEGER, 0, (n - pos)::BIGINT, {r6('n / (2.0 * (n - pos))::DOUBLE')} FROM label_totals WHERE n > pos",
+)
+def class_weights(spark, folder):
+    return rounded(L.class_weights(S.embeddings(spark, folder)))
+
+
+@query("ovr_logistic")
+def ovr_logistic(spark, folder):
+    rows = features(spark, folder)
+    return measured("logistic", M.score(rows, M.fit_ovr_logistic(rows, C=0.1, steps=20)))
+
+
+@query("ovr_linear_svm")
+def ovr_linear_svm(spark, folder):
+    rows = features(spark, folder)
+    return measured("svm", M.score(rows, M.fit_ovr_linear_svm(rows, C=0.1, steps=10)))
+
+
+@query("ovr_forest")
+def ovr_forest(spark, folder):
+    rows = features(spark, folder)
+    return measured("forest", M.score(rows, M.fit_ovr_forest(rows, trees=5, depth=6, leaf=5)))
+
+
+@query("ovr_linear")
+def ovr_linear(spark, folder):
+    rows = features(spark, folder)
+    models = L.fit_ovr_linear(rows, N_LABELS, N_DIMS, "logistic", steps=20, C=0.1)
+    return measured("joint logistic", L.score_models(rows, models))
+
+
+@query(
+    "score_linear",
+    f"SELECT id, label_idx::INTEGER AS label_idx, {r6('s + label_idx * CAST(0.1 AS DOUBLE)')} AS score FROM"
+    " (SELECT id, label_idx, sum(v * c) AS s FROM cells JOIN centroids USING (d) WHERE model = 'raw' GROUP BY id, label_idx)",
+)
+def score_linear(spark, folder):
+    rows = S.embeddings(spark, folder)
+    vector = array_to_vector(F.col("embedding").cast("array<double>"))
+    means = rows.groupBy("label").agg(vector_to_array(Summarizer.mean(vector)).alias("coef"))
+    table = means.select(F.col("label").alias("label_idx"), "coef", (F.col("label") * 0.1).alias("intercept"))
+    scored = L.score_linear(rows, table, "embedding")
+    return rounded(scored.select("id", F.posexplode("scores").alias("label_idx", "score")))
+
+
+def folded(rows, folds: int = 3):
+    return settle(D.kfold(rows, folds))
+
+
+@query("cross_validate")
+def cross_validate(spark, folder):
+    """Four candidates, three folds and ten labels: 120 models in each pass."""
+    candidates = H.expand_grid({"C": [0.1, 1.0], "penalty": ["l1", "l2"]})
+    return H.cross_validate_linear(folded(features(spark, folder)), candidates, N_LABELS, N_DIMS, steps=12)
+
+
+@query("cross_validate_text")
+def cross_validate_text(spark, folder):
+    docs = settle(S.prepared_documents(spark, folder))
+    vocabulary = D.label_vocabulary(docs)
+    rows = folded(D.binarize(docs, vocabulary))
+    candidates = H.expand_grid({"max_features": [1000], "ngram_max": [1], "min_df": [2], "C": [1.0, 10.0], "penalty": ["l2"]})
+    return H.cross_validate_text(rows, candidates, vocabulary.count(), steps=8)
+
+
+cte(
+    "fold_maps",
+    f"SELECT model, fold, {MAP} AS m FROM row_metrics JOIN (SELECT id, (ntile(3) OVER (ORDER BY id) - 1) AS fold FROM vectors)"
+    " USING (id) GROUP BY ALL",
+)
+
+
+@query(
+    "select_best",
+    f"SELECT model AS candidate, {r6('avg(m)')} AS mean_map FROM fold_maps GROUP BY 1 ORDER BY avg(m) DESC, 1 LIMIT 1",
+)
+def select_best(spark, folder):
+    folds = folded(S.embeddings(spark, folder).select("id"))
+    scored = model_scores(spark, folder).withColumnRenamed("model", "candidate").join(folds, "id")
+    return rounded(H.select_best(H.map_by_fold(scored)))
+
+
+@query("train_and_compare")
+def train_and_compare(spark, folder):
+    """Fit on the training rows, rank the test rows, compare; one model fails on purpose."""
+    rows = features(spark, folder).withColumn("label_list", F.transform("truth", lambda t: t.cast("string")))
+    parts = settle(D.stratified_split(rows))
+    train, test = parts.filter(F.col("split") == "train"), parts.filter(F.col("split") == "test")
+
+    def linear(loss):
+        return lambda: L.score_models(test, L.fit_ovr_linear(train, N_LABELS, N_DIMS, loss, steps=15, C=0.1))
+
+    makers = {
+        "LR": linear("logistic"),
+        "SVM": linear("squared_hinge"),
+        "centroid": lambda: centroid_scores(test.withColumnRenamed("features", "embedding")),
+        "broken": linear("unknown loss"),
+    }
+    registry = spark.createDataFrame(
+        [(name, "linear", "SBERT", "OG") for name in makers], "model_key string, family string, feature_type string, variant string"
+    )
+    return rounded(G.compare_models(makers, registry))
