@@ -22,17 +22,20 @@ def with_terms(df: DataFrame, text: str = "processed_text", low: int = 1, high:
     return df.withColumn("terms", T.ngrams(T.word_tokens(F.col(text)), low, high))
 
 
-def term_stats(df: DataFrame, terms: str = "terms") -> DataFrame:
+def term_rows(df: DataFrame, keep: list[str], terms: str = "terms") -> DataFrame:
+    """One row per row and distinct term with its count ``n``; counted inside the row."""
+    return df.select(*keep, F.inline(T.term_counts(F.col(terms))))
+
+
+def term_stats(df: DataFrame, terms: str = "terms", by: list[str] | None = None) -> DataFrame:
     """Document frequency and total count of each term in one shuffle.
 
-    Each row gives its terms once for the total and its distinct terms once for the document
-    frequency. Both are summed map-side, so the shuffle carries one row per term and task,
-    however often a term occurs.
+    Counts inside each row come first, then a map-side sum, so the shuffle carries one row per
+    term and task, however often a term occurs.
     """
-    once = F.transform(F.array_distinct(terms), lambda t: F.struct(t.alias("term"), F.lit(1).alias("d"), F.lit(0).alias("n")))
-    each = F.transform(terms, lambda t: F.struct(t.alias("term"), F.lit(0).alias("d"), F.lit(1).alias("n")))
-    rows = df.select(F.explode(F.concat(once, each)).alias("r")).select("r.term", "r.d", "r.n")
-    return rows.groupBy("term").agg(F.sum("d").alias("doc_freq"), F.sum("n").alias("total"))
+    by = by or []
+    counted = term_rows(df, by, terms).groupBy("term", *by)
+    return counted.agg(F.count("*").alias("doc_freq"), F.sum("n").alias("total"))
 
 
 def vocabulary(stats: DataFrame, min_df: int = 1, max_features: int | None = None) -> DataFrame:
@@ -54,10 +57,10 @@ def idf(vocab: DataFrame, n_rows: int) -> DataFrame:
 def tfidf(df: DataFrame, weights: DataFrame, key: str = "id", terms: str = "terms") -> DataFrame:
     """Long (id, term, weight), each row scaled to length one. Works for any vocabulary size.
 
-    ``weights`` is (term, idf). Counts are taken per (row, term) before the join, so a frequent
-    word travels once per row. Rows without a known term have no entries.
+    ``weights`` is (term, idf). Counts are taken inside the row, so a frequent word travels once
+    per row. Rows without a known term have no entries.
     """
-    counts = df.select(key, F.explode(terms).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    counts = term_rows(df, [key], terms).withColumnRenamed("n", "tf")
     known = lookup_join(counts, weights.select("term", "idf"), "term")
     raw = known.select(key, F.struct("term", (F.col("tf") * F.col("idf")).alias("weight")).alias("e"))
     # One row's own terms are gathered here, never more than the row's text held.

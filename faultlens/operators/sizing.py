@@ -38,7 +38,8 @@ def settle(df: DataFrame) -> DataFrame:
     """Write the table once to the shared folder and read it back: lineage ends there, and a
     lost executor re-reads files instead of repeating the work."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/faultlens-{uuid.uuid4().hex}"
+    app = spark.sparkContext.applicationId
+    path = f"{shared_folder(spark).rstrip('/')}/faultlens-{app}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -69,6 +69,50 @@ def rarest_label(df: DataFrame, column: str = "label_list", key: str = "id", lim
     return df.join(rarest, key, "left")
 
 
+def _rows_below(share: float, size: Column) -> Column:
+    """How many of ``size`` ordered rows have their mid-rank share ``(r - 0.5) / size`` below."""
+    near = F.floor(F.lit(share) * size + 0.5)
+    tries = F.transform(F.sequence(F.lit(-2), F.lit(2)), lambda d: near + d)
+    fitting = F.filter(tries, lambda r: (r >= 1) & (r <= size) & ((r - 0.5) / size < share))
+    return F.coalesce(F.array_max(fitting), F.lit(0)).cast("long")
+
+
+def stratum_cuts(slim: DataFrame, shares: dict[str, float], key: str, hex_digits: int) -> DataFrame:
+    """(stratum, one cut per share): the draw of the last row inside each share, '' if none.
+
+    Rows are counted per (stratum, first hash digits); only the buckets in which a cut falls, one
+    per stratum and share, are ordered. A stratum with a third of all rows is thus never sorted
+    as a whole: a bucket holds one row in 16**hex_digits.
+    """
+    cells = settle(slim.groupBy("stratum", F.substring("_draw", 1, hex_digits).alias("_bucket")).count())
+    in_stratum = Window.partitionBy("stratum")
+    earlier = in_stratum.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    counted = cells.select(
+        "stratum",
+        "_bucket",
+        "count",
+        F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("_before"),
+        F.sum("count").over(in_stratum).alias("_size"),
+    )
+    targets = F.array(*[F.struct(F.lit(n).alias("name"), _rows_below(s, F.col("_size")).alias("rank")) for n, s in shares.items()])
+    wanted = counted.select("stratum", "_bucket", "count", "_before", F.inline(targets))
+    inside = (F.col("rank") > F.col("_before")) & (F.col("rank") <= F.col("_before") + F.col("count"))
+    cut_cells = settle(wanted.filter(inside).select("stratum", "_bucket", "_before", "name", "rank"))
+
+    bucketed = slim.withColumn("_bucket", F.substring("_draw", 1, hex_digits))
+    cut_keys = cut_cells.select("stratum", "_bucket").distinct()
+    near = bucketed.join(cut_keys, ["stratum", "_bucket"], "left_semi")
+    place = F.row_number().over(Window.partitionBy("stratum", "_bucket").orderBy("_draw", key))
+    found = (
+        near.withColumn("_place", place)
+        .join(cut_cells, ["stratum", "_bucket"])
+        .filter(F.col("_before") + F.col("_place") == F.col("rank"))
+    )
+    cuts = found.groupBy("stratum").pivot("name", list(shares)).agg(F.first("_draw"))
+    strata = cells.select("stratum").distinct().join(cuts, "stratum", "left")
+    return strata.select("stratum", *[F.coalesce(n, F.lit("")).alias(n) for n in shares])
+
+
 def stratified_split(
     df: DataFrame,
     column: str = "label_list",
@@ -80,37 +124,25 @@ def stratified_split(
 ) -> DataFrame:
     """Adds ``split``: a row's place in its stratum, in hash order, decides.
 
-    Strata under six rows are pooled. The place is counted in two steps: rows are ordered inside
-    (stratum, first hash digits), and the sizes of the earlier buckets are added. So a stratum
-    with a third of all rows is ordered by up to 16**hex_digits tasks, with the same result as
-    one global sort.
+    Strata under six rows are pooled. What leaves the rows are ids and strata only: two cut
+    values per stratum come back, and each row compares its own hash with them. Texts are not
+    shuffled.
     """
     labelled = rarest_label(df.filter(F.size(column) > 0), column, key)
-    # Only ids and strata are written and counted, not the texts.
-    slim = settle(labelled.select(key, "stratum", draw_key(seed, F.col(key)).alias("_draw")))
-    sizes = slim.groupBy("stratum").count()
-    small = sizes.filter(F.col("count") < SMALL_STRATUM).select("stratum", F.lit(True).alias("_small"))
-    pooled = lookup_join(slim, small, "stratum", "left").withColumn(
-        "stratum", F.when(F.col("_small"), F.lit(POOLED)).otherwise(F.col("stratum"))
-    )
-    pooled = pooled.withColumn("_bucket", F.substring("_draw", 1, hex_digits)).drop("_small")
+    labelled = labelled.withColumn("_draw", draw_key(seed, F.col(key)))
+    slim = settle(labelled.select(key, "stratum", "_draw"))
+    small = settle(slim.groupBy("stratum").count().filter(F.col("count") < SMALL_STRATUM).select("stratum"))
+    marked = small.withColumn("_small", F.lit(True))
 
-    per_bucket = pooled.groupBy("stratum", "_bucket").count()
-    in_stratum = Window.partitionBy("stratum")
-    earlier = in_stratum.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_bucket.select(
-        "stratum",
-        "_bucket",
-        F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("_before"),
-        F.sum("count").over(in_stratum).alias("_size"),
-    )
-    # Cells of (stratum, bucket) are even, because the bucket is a hash prefix.
-    cells = pooled.join(offsets, ["stratum", "_bucket"])
-    inside = F.row_number().over(Window.partitionBy("stratum", "_bucket").orderBy("_draw", key))
-    share = (F.col("_before") + inside - F.lit(0.5)) / F.col("_size")
-    held_out = round(test_share + validation_share, 12)
-    split = F.when(share < test_share, "test").when(share < held_out, "val").otherwise("train")
-    return df.join(cells.select(key, split.alias("split")), key)
+    def pool(rows: DataFrame) -> DataFrame:
+        name = F.when(F.col("_small"), F.lit(POOLED)).otherwise(F.col("stratum"))
+        return lookup_join(rows, marked, "stratum", "left").withColumn("stratum", name).drop("_small")
+
+    shares = {"_test": test_share, "_val": round(test_share + validation_share, 12)}
+    cuts = settle(stratum_cuts(pool(slim), shares, key, hex_digits))
+    compared = lookup_join(pool(labelled), cuts, "stratum")
+    split = F.when(F.col("_draw") <= F.col("_test"), "test").when(F.col("_draw") <= F.col("_val"), "val")
+    return compared.withColumn("split", split.otherwise("train")).select(*df.columns, "split")
 
 
 def split_report(df: DataFrame, column: str = "label_list") -> DataFrame:
@@ -132,14 +164,19 @@ def encode_splits(df: DataFrame, column: str = "label_list") -> DataFrame:
 
 
 def kfold(df: DataFrame, folds: int = 3, key: str = "id") -> DataFrame:
-    """Consecutive blocks in id order; the first ``n % folds`` blocks are one row longer."""
-    placed = with_position(df.select(key), key, "_at")
-    total = df.count()
-    size, longer = divmod(total, folds)
-    cut = longer * (size + 1)
-    late = F.floor((F.col("_at") - cut) / F.lit(max(size, 1))) + longer
-    fold = F.when(F.col("_at") < cut, F.floor(F.col("_at") / F.lit(size + 1))).otherwise(late)
-    return df.join(placed.select(key, fold.cast("int").alias("fold")), key)
+    """Consecutive blocks in id order; the first ``n % folds`` blocks are one row longer.
+
+    Only ids are sorted. The first id of each block comes back, and rows compare their own id
+    with those few values.
+    """
+    placed = settle(with_position(df.select(key), key, "_at"))
+    size, longer = divmod(placed.count(), folds)
+    starts = [i * size + min(i, longer) for i in range(1, folds)]
+    firsts = [r[0] for r in placed.filter(F.col("_at").isin(starts)).orderBy("_at").collect()]
+    fold = F.lit(0)
+    for first in firsts:
+        fold = fold + (F.col(key) >= F.lit(first)).cast("int")
+    return df.withColumn("fold", fold)
 
 
 def hashed_folds(df: DataFrame, folds: int = 3, key: str = "id", seed: int = SEED) -> DataFrame:
