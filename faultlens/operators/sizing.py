@@ -86,15 +86,20 @@ def skew_join(
     how: str = "inner",
     hot_rows: int = HOT_ROWS,
     top: int = HOT_KEYS,
+    hot_left: list[tuple] | None = None,
+    hot_right: list[tuple] | None = None,
 ) -> DataFrame:
     """Equi-join in which a hot key on either side is cut into slices.
 
     A hot key's rows on the left are spread over n slices and its rows on the right are repeated
     for each slice, and the other way round, so each pair still meets exactly once. Other keys
     are neither spread nor repeated. For joins other than inner only the left side is spread.
+    Callers that join the same side again pass its hot keys instead of having them counted again.
     """
-    hot_left = hot_keys(left, key, hot_rows, top)
-    hot_right = hot_keys(right, key, hot_rows, top) if how == "inner" else []
+    if hot_left is None:
+        hot_left = hot_keys(left, key, hot_rows, top)
+    if hot_right is None or how != "inner":
+        hot_right = hot_keys(right, key, hot_rows, top) if how == "inner" else []
     if not hot_left and not hot_right:
         return left.join(right, key, how)
 
