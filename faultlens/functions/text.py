@@ -83,7 +83,7 @@ def decamelcase(text: Column) -> Column:
 
 def clean_text(text: Column) -> Column:
     """Lower case; everything but a-z and blanks deleted; blanks squeezed and trimmed."""
-    letters = F.regexp_replace(F.lower(text), r"(?U)[^a-z\s]", "")
+    letters = F.regexp_replace(F.lower(text), r"(?U)[^a-z\s]+", "")
     return F.trim(F.regexp_replace(letters, r"(?U)\s+", " "))
 
 

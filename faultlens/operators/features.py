@@ -6,6 +6,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -87,23 +89,30 @@ def tfidf_vectors(
     if not names:
         empty = F.struct(F.array().cast("array<int>").alias("indices"), F.array().cast("array<double>").alias("values"))
         return df.withColumn("features", empty), names
-    index = df.sparkSession.sparkContext.broadcast(
-        ({term: i for i, term in enumerate(names)}, np.array([w for _, w in held]))
-    )
-
-    @F.pandas_udf("struct<indices:array<int>,values:array<double>>")
-    def weigh(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        column, idf_of = index.value
-        for batch in batches:
-            indices, values = [], []
-            for row in batch:
-                known = [column[t] for t in row if t in column]
-                at, count = np.unique(np.array(known, dtype=np.int32), return_counts=True)
-                value = count * idf_of[at]
-                norm = np.sqrt((value * value).sum())
-                indices.append(at)
-                values.append(value / norm if norm > 0 else value)
-            yield pd.DataFrame({"indices": indices, "values": values})
+    shared = df.sparkSession.sparkContext.broadcast((pa.array(names, pa.string()), np.array([w for _, w in held])))
+
+    @F.arrow_udf("struct<indices:array<int>,values:array<double>>")
+    def weigh(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        known, idf_of = shared.value
+        for lists in batches:
+            flat = lists.flatten().cast(pa.string())
+            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            at = pc.fill_null(pc.index_in(flat, value_set=known), -1).to_numpy(zero_copy_only=False)
+            # One cell per (row, term); the cell number orders cells by row, then by term.
+            cells, count = np.unique(row[at >= 0] * len(idf_of) + at[at >= 0], return_counts=True)
+            row, at = np.divmod(cells, len(idf_of))
+            value = count * idf_of[at]
+            norm = np.sqrt(np.bincount(row, value * value, minlength=len(sizes)))
+            ends = np.cumsum(np.bincount(row, minlength=len(sizes)))
+            offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32))
+            yield pa.StructArray.from_arrays(
+                [
+                    pa.ListArray.from_arrays(offsets, pa.array(at.astype(np.int32))),
+                    pa.ListArray.from_arrays(offsets, pa.array(value / norm[row])),
+                ],
+                ["indices", "values"],
+            )
 
     return df.withColumn("features", weigh(F.col(terms))), names
 

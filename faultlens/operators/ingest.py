@@ -69,7 +69,10 @@ def first_seen_paths(df: DataFrame) -> DataFrame:
 
 
 def distinct_paths_in_order(df: DataFrame) -> DataFrame:
-    """One row per report with its distinct paths in first-seen order."""
+    """One row per report with its distinct paths in first-seen order.
+
+    For export only: a row has to hold its whole list. The operators downstream take the long form.
+    """
     ordered = F.array_sort(F.collect_list(F.struct("rel_pos", "path_pos", "path")))
     grouped = first_seen_paths(df).groupBy("bug_id").agg(ordered.alias("seen"))
     return grouped.select("bug_id", F.transform("seen", lambda s: s["path"]).alias("paths"))
@@ -82,7 +85,12 @@ def changed_paths(links: DataFrame, changes: DataFrame, hot_rows: int = HOT_ROWS
 
 
 def bugs_with_paths(bugs: DataFrame, paths: DataFrame) -> DataFrame:
-    """Reports that have at least one path, with their path list."""
+    """Reports that have at least one path."""
+    return bugs.join(paths.select("bug_id").distinct(), "bug_id", "left_semi")
+
+
+def extracted_table(bugs: DataFrame, paths: DataFrame) -> DataFrame:
+    """The export form: reports with at least one path, with the path list in the row."""
     return bugs.join(distinct_paths_in_order(paths), "bug_id")
 
 

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from faultlens.functions import text as T
 from faultlens.functions.wordlists import ENGLISH_STOP_WORDS, NOUN_SUFFIX_RULES
 from faultlens.operators.sizing import BROADCAST_ROWS, HOT_ROWS, lookup_join
 
-IN_ROW_LEMMAS = 2_000  # (form, lemma) pairs held as a literal next to every row
+SENT_LEMMAS = 500_000  # (form, lemma) pairs that may be sent to every executor
 
 
 def noun_lemma_table(forms: DataFrame, lexicon: DataFrame) -> DataFrame:
@@ -37,21 +41,24 @@ def noun_lemma_table(forms: DataFrame, lexicon: DataFrame) -> DataFrame:
     return lemmas.filter(F.col("form") != F.col("lemma"))
 
 
-def _in_row_lookup(pairs: list[tuple[str, str]]) -> callable:
-    """Hash-set test first, so that only words with a lemma pay for the map look-up. Maps are
-    searched from the front; one map per first two letters keeps each search short."""
-    groups: dict[str, list] = {}
-    for form, lemma in pairs:
-        groups.setdefault(form[:2], []).append((form, lemma))
-    inner = [F.create_map(*[F.lit(x) for pair in group for x in pair]) for group in groups.values()]
-    table = F.create_map(*[c for head, m in zip(groups, inner) for c in (F.lit(head), m)])
-    forms = [form for form, _ in pairs]
+def _replace_in_batches(df: DataFrame, tokens: str, pairs: list[tuple[str, str]]) -> DataFrame:
+    """Whole Arrow batches of tokens against the sent table: one hash look-up per batch, no
+    shuffle, no Python work per token."""
+    forms, lemmas = zip(*pairs)
+    shared = df.sparkSession.sparkContext.broadcast((pa.array(forms, pa.string()), pa.array(lemmas, pa.string())))
 
-    def replace(token: Column) -> Column:
-        head = F.substring(token, 1, 2)
-        return F.when(token.isin(forms), F.element_at(F.element_at(table, head), token)).otherwise(token)
+    @F.arrow_udf("array<string>")
+    def replace(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        known, target = shared.value
+        for lists in batches:
+            flat = lists.flatten().cast(pa.string())
+            found = pc.take(target, pc.index_in(flat, value_set=known))
+            sizes = pc.fill_null(pc.list_value_length(lists), 0)
+            ends = pc.cumulative_sum(sizes.cast(pa.int32()))
+            offsets = pa.concat_arrays([pa.array([0], pa.int32()), ends])
+            yield pa.ListArray.from_arrays(offsets, pc.coalesce(found, flat))
 
-    return replace
+    return df.withColumn(tokens, replace(F.col(tokens)))
 
 
 def lemmatize(
@@ -59,20 +66,21 @@ def lemmatize(
     lemmas: DataFrame,
     tokens: str = "tokens",
     key: str = "id",
-    limit: int = IN_ROW_LEMMAS,
+    limit: int = SENT_LEMMAS,
     broadcast_rows: int = BROADCAST_ROWS,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Replace each token by its lemma; tokens without one stay.
 
-    A short table is applied inside the row. A longer one is joined: only the distinct
-    (row, word) pairs travel, and what comes back per row is the short list of changed words.
+    A table of up to ``limit`` rows is sent to the executors, and rows stay where they are. A
+    larger one is joined: only the distinct (row, word) pairs travel, and what comes back per row
+    is the short list of changed words.
     """
     pairs = [tuple(r) for r in lemmas.select("form", "lemma").limit(limit + 1).collect()]
     if not pairs:
         return df
     if len(pairs) <= limit:
-        return df.withColumn(tokens, F.transform(tokens, _in_row_lookup(pairs)))
+        return _replace_in_batches(df, tokens, pairs)
     words = df.select(key, F.explode(F.array_distinct(tokens)).alias("form"))
     found = lookup_join(words, lemmas.select("form", "lemma"), "form", "inner", broadcast_rows, hot_rows)
     changes = found.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("form", "lemma"))).alias("_lemmas"))

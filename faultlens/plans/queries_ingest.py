@@ -118,12 +118,21 @@ def paths_in_order(spark, folder):
 
 @query(
     "bugs_with_paths",
+    f"SELECT bug_id, title, priority FROM work_items WHERE {SELECTED} AND bug_id IN (SELECT bug_id FROM bug_paths)",
+)
+def bugs_with_paths(spark, folder):
+    bugs = A.select_work_items(S.work_items(spark, folder), AREA)
+    return A.bugs_with_paths(bugs, seen_paths(spark, folder)).select("bug_id", "title", "priority")
+
+
+@query(
+    "extracted_table",
     "SELECT w.bug_id, title, priority, array_to_string(list(path ORDER BY seen, path), '|') AS paths"
     f" FROM work_items w JOIN bug_paths b ON w.bug_id = b.bug_id WHERE {SELECTED} GROUP BY ALL",
 )
-def bugs_with_paths(spark, folder):
+def extracted_table(spark, folder):
     bugs = A.select_work_items(S.work_items(spark, folder), AREA)
-    found = A.bugs_with_paths(bugs, seen_paths(spark, folder))
+    found = A.extracted_table(bugs, seen_paths(spark, folder))
     return found.select("bug_id", "title", "priority", F.array_join("paths", "|").alias("paths"))
 
 
