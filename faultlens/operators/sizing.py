@@ -159,9 +159,13 @@ def require_rows(df: DataFrame, what: str) -> DataFrame:
 
 def unmatched_ids(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """Ids that stand on one side only, with the side."""
-    only_left = left.select(key).join(right.select(key), key, "left_anti").withColumn("side", F.lit("left"))
-    only_right = right.select(key).join(left.select(key), key, "left_anti").withColumn("side", F.lit("right"))
-    return only_left.unionByName(only_right)
+
+    def missing(own: DataFrame, other: DataFrame, side: str) -> DataFrame:
+        # Repeated ids of the other side are dropped before they travel.
+        alone = own.select(key).join(other.select(key).distinct(), key, "left_anti")
+        return alone.withColumn("side", F.lit(side))
+
+    return missing(left, right, "left").unionByName(missing(right, left, "right"))
 
 
 def existing_columns(df: DataFrame, wanted: list[str]) -> DataFrame:

@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_CSV = {"header": "true", "multiLine": "true", "quote": '"', "escape": '"', "encoding": "UTF-8"}
+_CSV = {"header": "true", "quote": '"', "escape": '"', "encoding": "UTF-8"}
 
 
-def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Quoted text with line breaks; the schema is given, never guessed."""
-    return spark.read.options(**_CSV).schema(schema).csv(path)
+def read_csv(spark: SparkSession, path: str, schema: str, line_breaks: bool = True) -> DataFrame:
+    """Quoted text; the schema is given, never guessed.
+
+    A file whose text holds line breaks cannot be cut into tasks, so large inputs come as many
+    files; without line breaks one file is read by many tasks.
+    """
+    return spark.read.options(**_CSV).option("multiLine", line_breaks).schema(schema).csv(path)
 
 
 def list_as_text(df: DataFrame, column: str) -> DataFrame:

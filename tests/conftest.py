@@ -13,6 +13,6 @@ SMALL = "/root/testdata/sf0.001"
 def spark():
     from faultlens.session import local_session
 
-    session = local_session(4, "tests")
+    session = local_session(8, "tests")
     session.conf.set("spark.sql.shuffle.partitions", "4")
     return session
