@@ -16,6 +16,15 @@ from faultlens.operators.sizing import BROADCAST_ROWS, HOT_ROWS, lookup_join
 SENT_LEMMAS = 500_000  # (form, lemma) pairs that may be sent to every executor
 
 
+def distinct_words(df: DataFrame, tokens: str = "tokens") -> DataFrame:
+    """Distinct tokens as ``word``; repeats inside a row are dropped before they travel.
+
+    The exploded expression is not a plain column on purpose: for a plain column the optimiser
+    adds a not-empty filter that computes the whole cleaning chain a second time.
+    """
+    return df.select(F.explode(F.array_distinct(tokens)).alias("word")).distinct()
+
+
 def noun_lemma_table(forms: DataFrame, lexicon: DataFrame) -> DataFrame:
     """(form, lemma) for the forms whose lemma differs.
 

@@ -96,20 +96,20 @@ def rare_label_rows(spark, folder):
     "SELECT word, string_agg(synonym, '|' ORDER BY synonym) AS synonyms FROM clean_synonyms GROUP BY 1",
 )
 def synonym_lookup(spark, folder):
-    found = E.synonyms(synonym_table(S.prepared_documents(spark, folder)))
+    found = E.synonyms(synonym_table(S.cleaned_documents(spark, folder)))
     return found.select("word", F.array_join("synonyms", "|").alias("synonyms"))
 
 
 @query("synonym_replacement", FULL["sr"])
 def synonym_replacement(spark, folder):
-    docs = prepared(spark, folder)
+    docs = settle(S.cleaned_documents(spark, folder))
     copies = docs.withColumn("replica", F.lit(1))
     return shown(E.synonym_replacement(copies, E.synonyms(synonym_table(docs))))
 
 
 @query("random_swap", FULL["rs"])
 def random_swap(spark, folder):
-    return shown(E.random_swap(S.prepared_documents(spark, folder).withColumn("replica", F.lit(1))))
+    return shown(E.random_swap(S.cleaned_documents(spark, folder).withColumn("replica", F.lit(1))))
 
 
 @query("augment_full", f"{ORIGINAL} UNION ALL {FULL['rs']}")

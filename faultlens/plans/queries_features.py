@@ -38,7 +38,7 @@ cte("unit_weights", "SELECT id, term, w / sqrt(sum(w * w) OVER (PARTITION BY id)
 
 
 def with_terms(spark, folder):
-    return X.with_terms(S.prepared_documents(spark, folder).select("id", "processed_text"), high=NGRAM_MAX)
+    return X.with_terms(S.cleaned_documents(spark, folder), high=NGRAM_MAX)
 
 
 def weights(terms):
@@ -48,7 +48,7 @@ def weights(terms):
 
 @query("word_tokens", f"SELECT id, array_to_string({TOKENS_SQL}, '|') AS tokens FROM prepared")
 def word_tokens(spark, folder):
-    docs = S.prepared_documents(spark, folder)
+    docs = S.cleaned_documents(spark, folder)
     return docs.select("id", F.array_join(T.word_tokens(F.col("processed_text")), "|").alias("tokens"))
 
 

@@ -79,7 +79,7 @@ def doc_tokens(spark, folder):
 
 
 def corpus_lemmas(tokens):
-    words = settle(tokens.select(F.explode("tokens").alias("word")).distinct())
+    words = settle(C.distinct_words(tokens))
     return settle(C.noun_lemma_table(words, words))
 
 

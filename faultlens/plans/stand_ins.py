@@ -179,12 +179,15 @@ cte(
 )
 
 
-def prepared_documents(spark: SparkSession, folder: str) -> DataFrame:
-    """(id, processed_text, label_list): cleaned text without stop words, and the labels."""
-    texts = documents(spark, folder)
+def cleaned_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """(id, processed_text): cleaned text without stop words."""
     tokens = T.content_tokens(T.combine_text(F.col("title"), F.col("description")))
-    cleaned = texts.select("id", F.array_join(tokens, " ").alias("processed_text"))
-    return cleaned.join(labelled_documents(spark, folder), "id")
+    return documents(spark, folder).select("id", F.array_join(tokens, " ").alias("processed_text"))
+
+
+def prepared_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """(id, processed_text, label_list): the cleaned text and the labels."""
+    return cleaned_documents(spark, folder).join(labelled_documents(spark, folder), "id")
 
 
 def embeddings(spark: SparkSession, folder: str) -> DataFrame:

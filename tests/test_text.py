@@ -102,6 +102,7 @@ def test_lemmas(spark):
         [(1, ["cats", "fly", "cats", "men"]), (2, []), (3, ["zzz"])], "id long, tokens array<string>"
     )
     want = {1: ["cat", "fly", "cat", "man"], 2: [], 3: ["zzz"]}
+    assert sorted(r.word for r in C.distinct_words(rows).collect()) == ["cats", "fly", "men", "zzz"]
     for limits in ({}, {"limit": 1}, {"limit": 1, "broadcast_rows": 0, "hot_rows": 1}):
         assert {r.id: r.tokens for r in C.lemmatize(rows, table, **limits).collect()} == want
 
