@@ -1,5 +1,3 @@
-from pyspark.sql import functions as F
-
 from faultlens.operators import labels as B
 
 
