@@ -41,9 +41,10 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Byte ranges of the words between white space, and the number of words in each text."""
-    gap = _SPACE[data]
+def words(data: np.ndarray, offsets: np.ndarray, gaps: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Byte ranges of the words between gaps (white space, if not said otherwise), and the number of
+    words in each text."""
+    gap = gaps[data]
     first = ~gap
     last = first.copy()
     at_start = np.zeros(len(data) + 1, bool)
@@ -93,9 +94,21 @@ def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, piece: int =
     return out
 
 
-def word_hashes(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+#: Every ASCII character but letters and digits.
+MARKS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
+
+
+def word_hashes(array: pa.Array, gaps: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
     """Hash of every word, A-Z lower-cased, of all texts, and the number of words in each text."""
     data, offsets = utf8(array)
     data = _LOWER[data]
-    starts, ends, counts = words(data, offsets)
+    starts, ends, counts = words(data, offsets, gaps)
     return hashes(data, starts, ends), counts
+
+
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Different values in ascending order; for large integer arrays faster than by hashing."""
+    values = np.sort(values)
+    first = np.ones(len(values), bool)
+    first[1:] = values[1:] != values[:-1]
+    return values[first]
