@@ -28,25 +28,28 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from faultlens.llm.blocks import text_slices
+from faultlens.llm.blocks import mix, text_slices
 from faultlens.operators.sizing import settle
 
 SHARD = 8_192  # members of one tree, and searches sent to one tree at a time
 
 
-def text_fingerprint(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Majority bits of each text's hashes."""
-    out = np.zeros(len(sizes), np.uint64)
+def ones(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """For each text, how many of its hashes have each bit (the highest first) set."""
+    out = np.zeros((len(sizes), 64), np.int64)
     held = np.flatnonzero(sizes)
     if len(held):
         bits = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-        starts = (np.cumsum(sizes) - sizes)[held]
-        ones = np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
-        major = np.packbits(2 * ones > sizes[held, None], axis=1)
-        out[held] = major.reshape(-1, 8).copy().view(">u8").reshape(-1)
+        out[held] = np.add.reduceat(bits, (np.cumsum(sizes) - sizes)[held], axis=0, dtype=np.int32)
     return out
 
 
+def majority(counts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Bits that are set in over half of a text's hashes, as one number."""
+    packed = np.packbits(2 * counts > sizes[:, None], axis=1)
+    return packed.reshape(-1, 8).copy().view(">u8").reshape(-1).astype(np.uint64)
+
+
 def shingle_hashes(text: str | None, words: int) -> list[int]:
     # bytes.lower changes A-Z only; bytes.split cuts at the six white-space bytes only.
     found = text.encode().lower().split() if text else []
@@ -70,7 +73,7 @@ def fingerprints(docs: DataFrame, words: int = 4, key: str = "doc_id", text: str
             each = [shingle_hashes(t, words) for t in piece.column("_text").to_pylist()]
             sizes = np.array([len(x) for x in each], np.int64)
             flat = np.fromiter((h for x in each for h in x), np.uint64, int(sizes.sum()))
-            prints = text_fingerprint(flat, sizes).view(np.int64)
+            prints = majority(ones(flat, sizes), sizes).view(np.int64)
             yield pa.RecordBatch.from_arrays([piece.column("_key"), pa.array(prints)], [key, "_fp"])
 
     return docs.select(docs[key].alias("_key"), docs[text].alias("_text")).mapInArrow(run, f"`{key}` {kind}, _fp long")
@@ -91,8 +94,13 @@ def _shard_keys(fp: Column, blocks: int, radius: int) -> Column:
     )
 
 
+def _distance(prints: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """Hamming distance of rows of 64-bit lanes to one row."""
+    return np.bitwise_count(prints ^ one).sum(axis=1, dtype=np.int64)
+
+
 class BKTree:
-    """Tree over different fingerprints. Every node is (member, {distance: subtree})."""
+    """Tree over different fingerprints (rows of 64-bit lanes). A node is (member, {distance: subtree})."""
 
     def __init__(self, prints: np.ndarray):
         self.prints = prints
@@ -107,7 +115,7 @@ class BKTree:
                 above[edge] = node
             rest = members[1:]
             if len(rest):
-                far = np.bitwise_count(prints[rest] ^ prints[members[0]])
+                far = _distance(prints[rest], prints[members[0]])
                 for d in np.unique(far).tolist():
                     work.append((rest[far == d], node[1], d))
 
@@ -116,7 +124,7 @@ class BKTree:
         work = [(self.root, np.arange(len(queries)))]
         while work:
             (member, children), asking = work.pop()
-            far = np.bitwise_count(queries[asking] ^ self.prints[member]).astype(np.int64)
+            far = _distance(queries[asking], self.prints[member])
             if (near := far <= radius).any():
                 yield member, asking[near]
             for edge, child in children.items():
@@ -126,12 +134,12 @@ class BKTree:
 
 
 def stars(tree: np.ndarray, queries: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Groups linked through one tree, as (member, first of its group) over tree + queries.
+    """Groups linked through one tree, as (member, first of its group), places in tree + queries.
     Stops when all are one group: further links could join nothing more."""
-    both = tree if queries is None else np.concatenate((tree, queries))
+    n = len(tree) + (0 if queries is None else len(queries))
     asked, shift = (tree, 0) if queries is None else (queries, len(tree))
-    parent = np.arange(len(both))
-    groups = len(both)
+    parent = np.arange(n)
+    groups = n
 
     def roots(x: np.ndarray) -> np.ndarray:
         up = parent[x]
@@ -147,34 +155,33 @@ def stars(tree: np.ndarray, queries: np.ndarray | None, radius: int) -> tuple[np
             groups -= len(met) - 1
             if groups == 1:
                 break
-    final = roots(np.arange(len(both)))
-    moved = np.flatnonzero(final != np.arange(len(both)))
-    return both[moved], both[final[moved]]
+    final = roots(np.arange(n))
+    moved = np.flatnonzero(final != np.arange(n))
+    return moved, final[moved]
 
 
-def links(prints: DataFrame, radius: int = 4, blocks: int = 6, shard: int = SHARD) -> DataFrame:
-    """Links (a, b) between different fingerprints ``_fp`` whose closure is that of all links
-    within the radius."""
-    keys = prints.select("_fp", F.explode(_shard_keys(F.col("_fp"), blocks, radius)).alias("_key"))
+def linked(keyed: DataFrame, lanes: list[str], radius: int, shard: int = SHARD) -> DataFrame:
+    """Links (a, b) of ``_node`` numbers whose closure is that of all links within the radius
+    between rows that share a shard ``_key`` (long). ``lanes`` are the fingerprint's columns."""
     # Written first: the join below then deals both sides itself and can split a hot key.
-    sizes = settle(keys.groupBy("_key").count().filter(F.col("count") > 1))
+    sizes = settle(keyed.groupBy("_key").count().filter(F.col("count") > 1))
     slices = F.ceil(F.col("count") / F.lit(shard)).cast("int")
-    own = F.pmod(F.xxhash64("_fp", F.lit(1)), slices).cast("int")
+    own = F.pmod(F.xxhash64("_node", F.lit(1)), slices).cast("long")
     cells = (
-        keys.join(sizes, "_key")
-        .select("_key", "_fp", own.alias("_own"), F.explode(F.sequence(F.lit(0), slices - 1)).alias("_other"))
-        .select("_key", "_fp", "_own", F.least("_own", "_other").alias("_a"), F.greatest("_own", "_other").alias("_b"))
-        .select(F.xxhash64("_key.choice", "_key.bits", "_a", "_b").alias("_cell"), "_key.choice", "_key.bits", "_a", "_b", "_own", "_fp")
+        keyed.join(sizes, "_key")
+        .select("_key", "_node", *lanes, own.alias("_own"), F.explode(F.sequence(F.lit(0), slices - 1)).alias("_other"))
+        .select("_key", F.least("_own", "_other").alias("_a"), F.greatest("_own", "_other").alias("_b"), "_own", "_node", *lanes)
     )
-    together = cells.repartition("_cell").sortWithinPartitions("_cell", "choice", "bits", "_a", "_b", "_own", "_fp")
+    cell = ["_key", "_a", "_b"]
+    together = cells.repartition(*cell).sortWithinPartitions(*cell, "_own", "_node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         for batch in batches:
-            columns = np.stack([batch.column(i).to_numpy() for i in range(6)], axis=1)
+            columns = np.stack([batch.column(i).to_numpy() for i in range(batch.num_columns)], axis=1)
             whole = columns if not held else np.concatenate((*held, columns))
             # The last cell may go on in the next batch.
-            change = np.flatnonzero((whole[1:, :4] != whole[:-1, :4]).any(axis=1)) + 1
+            change = np.flatnonzero((whole[1:, :3] != whole[:-1, :3]).any(axis=1)) + 1
             if len(change):
                 yield from finish(whole[: change[-1]], change[:-1])
                 held = [whole[change[-1] :]]
@@ -186,20 +193,27 @@ def links(prints: DataFrame, radius: int = 4, blocks: int = 6, shard: int = SHAR
     def finish(rows: np.ndarray, cuts: np.ndarray) -> Iterator[pa.RecordBatch]:
         found_a, found_b = [], []
         for part in np.split(rows, cuts):
-            fp = part[:, 5].view(np.uint64) if part[:, 5].flags.c_contiguous else np.ascontiguousarray(part[:, 5]).view(np.uint64)
-            first = part[:, 4] == part[0, 2]
-            diagonal = part[0, 2] == part[0, 3]
-            if len(part) < 2 or (not diagonal and first.all() or not first.any()):
+            own, other, nodes = part[0, 1], part[0, 2], part[:, 4]
+            prints = np.ascontiguousarray(part[:, 5:]).view(np.uint64)
+            first = part[:, 3] == own
+            if len(part) < 2 or (own != other and (first.all() or not first.any())):
                 continue
-            a, b = stars(fp, None, radius) if diagonal else stars(fp[first], fp[~first], radius)
-            found_a.append(a)
-            found_b.append(b)
+            a, b = stars(prints, None, radius) if own == other else stars(prints[first], prints[~first], radius)
+            order = nodes if own == other else np.concatenate((nodes[first], nodes[~first]))
+            found_a.append(order[a])
+            found_b.append(order[b])
         if found_a:
-            a, b = np.concatenate(found_a).view(np.int64), np.concatenate(found_b).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            columns = [pa.array(np.concatenate(x)) for x in (found_a, found_b)]
+            yield pa.RecordBatch.from_arrays(columns, ["a", "b"])
 
-    narrow = together.select(F.col("choice").cast("long"), "bits", F.col("_a").cast("long"), F.col("_b").cast("long"), F.col("_own").cast("long"), "_fp")
-    return narrow.mapInArrow(run, "a long, b long").distinct()
+    return together.select(*cell, "_own", "_node", *lanes).mapInArrow(run, "a long, b long").distinct()
+
+
+def links(prints: DataFrame, radius: int = 4, blocks: int = 6, shard: int = SHARD) -> DataFrame:
+    """Links between different fingerprints ``_fp``; no pair within the radius is missed."""
+    keys = prints.select("_fp", F.explode(_shard_keys(F.col("_fp"), blocks, radius)).alias("_key"))
+    # The choice and its bits as one number; shards that met in it would only be searched together.
+    return linked(keys.select(F.xxhash64("_key.choice", "_key.bits").alias("_key"), F.col("_fp").alias("_node"), "_fp"), ["_fp"], radius, shard)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -249,3 +263,74 @@ def near_duplicates(
         F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"),
         F.when(F.col(key).isNotNull(), F.col("component_id")).alias("component_id"),
     )
+
+
+LANES = 4  # 64-bit lanes of the wide fingerprint
+RUN = 16  # bits of lane 0 in a shard key
+UNSURE = 6  # least sure bits of a run; each is also tried the other way
+
+
+def wide_fingerprints(docs: DataFrame, words: int, key: str, text: str) -> DataFrame:
+    """Key, lanes f0 to f3 and the shard keys of each text. Lane 0 is the plain fingerprint; the other lanes
+    take further mixes of the same shingle hashes. Shard keys: each run of 16 bits of lane 0, as it
+    is and with one of its least sure bits (those closest to half of the hashes) turned."""
+    kind = docs.schema[key].dataType.simpleString()
+    lanes = [f"f{k}" for k in range(LANES)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in text_slices(batches, "_text"):
+            each = [shingle_hashes(t, words) for t in piece.column("_text").to_pylist()]
+            sizes = np.array([len(x) for x in each], np.int64)
+            flat = np.fromiter((h for x in each for h in x), np.uint64, int(sizes.sum()))
+            counts = [ones(flat if k == 0 else mix(flat * np.uint64(2 * k + 1) + np.uint64(k)), sizes) for k in range(LANES)]
+            prints = [majority(c, sizes).view(np.int64) for c in counts]
+            keys = _probes(counts[0], sizes)
+            arrays = [pa.array(p) for p in prints]
+            arrays.append(pa.FixedSizeListArray.from_arrays(pa.array(keys.reshape(-1)), keys.shape[1]).cast(pa.list_(pa.int32())))
+            yield pa.RecordBatch.from_arrays([piece.column("_key"), *arrays], [key, *lanes, "_keys"])
+
+    columns = ", ".join(f"{x} long" for x in lanes)
+    return docs.select(docs[key].alias("_key"), docs[text].alias("_text")).mapInArrow(run, f"`{key}` {kind}, {columns}, _keys array<int>")
+
+
+def _probes(counts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    runs = 64 // RUN
+    doubt = np.abs(2 * counts - sizes[:, None]).reshape(-1, runs, RUN)
+    bits = (2 * counts > sizes[:, None]).reshape(-1, runs, RUN)
+    value = bits @ (1 << np.arange(RUN - 1, -1, -1))
+    unsure = np.argsort(doubt, axis=2, kind="stable")[:, :, :UNSURE]
+    turned = value[:, :, None] ^ (1 << (RUN - 1 - unsure))
+    every = np.concatenate((value[:, :, None], turned), axis=2)
+    return (every + (np.arange(runs) << RUN)[None, :, None]).reshape(len(counts), -1).astype(np.int32)
+
+
+def keep_representatives(
+    docs: DataFrame, words: int = 5, similarity: float = 0.8, shard: int = SHARD, key: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """The rows of ``docs`` without near-duplicates: of each group the document with the smallest id stays.
+
+    Two texts are near-duplicates if their wide fingerprints agree in at least ``similarity`` of
+    the bits; groups follow the links. Shards bring together texts that agree on a run of bits up to
+    one unsure bit on either side (measured: over 99 % of the pairs whose shingle sets have a
+    Jaccard similarity of 0.8 meet). Rows with a null id stay; rows that repeat an id are one document,
+    of which the row with the smallest text stays."""
+    lanes = [f"f{k}" for k in range(LANES)]
+    prints = settle(wide_fingerprints(docs.filter(F.col(key).isNotNull()), words, key, text))
+    node = F.xxhash64(*lanes)
+    unique = settle(prints.groupBy(*lanes).agg(F.min(key).alias("_least"), F.min("_keys").alias("_keys")).withColumn("_node", node))
+    keyed = unique.select("_node", *lanes, F.explode(F.col("_keys").cast("array<long>")).alias("_key"))
+    repeats = prints.groupBy(key).agg(F.count("*").alias("n"), F.min(node).alias("a"), F.max(node).alias("b")).filter("n > 1")
+    repeats = settle(repeats)
+    found = linked(keyed, lanes, int(64 * LANES * (1 - similarity)), shard)
+    roots = settle(components(found.unionByName(repeats.select("a", "b").filter("a <> b"))))
+    rooted = unique.select("_node", "_least").join(roots.withColumnRenamed("node", "_node"), "_node", "left")
+    rooted = rooted.withColumn("root", F.coalesce("root", "_node"))
+    least = rooted.groupBy("root").agg(F.min("_least").alias("_kept"))
+    named = settle(rooted.join(least, "root").select("_node", "_kept"))
+    # Only ids that go are sent to the texts.
+    gone = settle(prints.select(key, node.alias("_node")).join(named, "_node").filter(F.col(key) != F.col("_kept")).select(key).distinct())
+    left = docs.join(gone, key, "left_anti").select(docs.columns)
+    if repeats.isEmpty():
+        return left
+    twice = left.join(repeats.select(key), key, "left_semi").groupBy(key).agg(F.min_by(F.struct(*docs.columns), F.struct(F.col(text))).alias("_row"))
+    return left.join(repeats.select(key), key, "left_anti").select(docs.columns).unionByName(twice.select("_row.*"))
