@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultlens.llm import bpe, decontaminate, langid, line_windows, simhash
+from faultlens.llm import bpe, decontaminate, langid, line_windows, simhash, tag_paths
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -82,6 +82,11 @@ def op8_line_windows(spark: SparkSession, folder: str) -> DataFrame:
     return line_windows.remove_repeats(docs, width=3)
 
 
+@query("op9_tag_paths")
+def op9_tag_paths(spark: SparkSession, folder: str) -> DataFrame:
+    return tag_paths.extract(table(spark, folder, "pages"))
+
+
 @query("op10_bpe_replay")
 def op10_bpe_replay(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
