@@ -329,7 +329,8 @@ def keep_representatives(
     named = settle(rooted.join(least, "root").select("_node", "_kept"))
     # Only ids that go are sent to the texts.
     gone = settle(prints.select(key, node.alias("_node")).join(named, "_node").filter(F.col(key) != F.col("_kept")).select(key).distinct())
-    left = docs.join(gone, key, "left_anti").select(docs.columns)
+    # One plan at every size: the ids that go grow with the corpus, so they are never sent whole.
+    left = docs.join(gone.hint("merge"), key, "left_anti").select(docs.columns)
     if repeats.isEmpty():
         return left
     twice = left.join(repeats.select(key), key, "left_semi").groupBy(key).agg(F.min_by(F.struct(*docs.columns), F.struct(F.col(text))).alias("_row"))
