@@ -61,7 +61,8 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, key: str = "doc_id", tex
     """All rows and columns; ``text`` without the covered lines, and n_lines_removed."""
     covered = settle(covered_places(docs, width, key, text))
     named = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("id"), F.xxhash64(text).alias("h"))
-    joined = docs.withColumn("_doc", named).join(covered, "_doc", "left").drop("_doc")
+    # One plan at every size: covered places grow with the corpus, so they are never sent whole.
+    joined = docs.withColumn("_doc", named).join(covered.hint("merge"), "_doc", "left").drop("_doc")
     gone = F.col("covered")
     # One lambda variable holds the lines, so that a text is cut once and not once for each line.
     kept = lambda lines: F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone), lambda i: lines[i])
