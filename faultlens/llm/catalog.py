@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultlens.llm import bpe, decontaminate, langid, line_windows, nra, simhash, tag_paths
+from faultlens.llm import bpe, decontaminate, langid, line_windows, nra, simhash, simple8b, tag_paths
+from faultlens.operators.sizing import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -35,6 +37,13 @@ def id_remainder(key: str, n: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")), F.lit(n))
 
 
+@query("op2_simple8b")
+def op2_simple8b(spark: SparkSession, folder: str) -> DataFrame:
+    files = f"{shared_folder(spark).rstrip('/')}/faultlens-{spark.sparkContext.applicationId}/ids-{uuid.uuid4().hex}"
+    simple8b.write_ids(table(spark, folder, "documents"), files, public_tokenizers.path("word_bpe_49k.json"), end=2)
+    return simple8b.checksums(simple8b.read_ids(spark, files))
+
+
 @query("op3_langid")
 def op3_langid(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
