@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultlens.llm import bpe, decontaminate, langid, line_windows, nra, simhash, simple8b, tag_paths
+from faultlens.llm import bpe, chunks, decontaminate, langid, line_windows, nra, simhash, simple8b, tag_paths
 from faultlens.operators.sizing import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -104,6 +104,11 @@ FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id LEFT JOIN gone g ON d.d
 """
 
 
+@query("op7_cdc_chunks")
+def op7_cdc_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    return chunks.repeated_passages(table(spark, folder, "documents"))
+
+
 @query("op8_line_windows", LINE_SQL)
 def op8_line_windows(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
