@@ -29,8 +29,7 @@ from faultlens.llm.exchange import bundle, cuts, ranges, unbundle
 from faultlens.operators.sizing import settle
 
 AVERAGE = 20  # bytes between two boundaries
-SHORTEST = 4  # bytes of a chunk, but for a text's last one
-LONGEST = 255
+LONGEST = 64  # bytes of a chunk at most
 WORDS = 30  # words in a run of repeated chunks that is a repeated passage
 WINDOW = 16
 _GEAR = (mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)).astype(np.uint16)
@@ -53,16 +52,18 @@ def boundaries(data: np.ndarray, offsets: np.ndarray, average: int = AVERAGE) ->
     # The first bytes of a text have no whole window; the text's end is added below.
     ends = ends[(ends - offsets[text] >= WINDOW) & (ends < offsets[text + 1])]
     ends = np.union1d(ends, offsets[1:][offsets[1:] > starts])
-    # Chunks that are too long are cut at even steps from their start.
-    text_ends = offsets[1:][offsets[1:] > starts]
+    # A chunk that is too long ends where its hash is least, the last such place within reach: in
+    # text that repeats itself, boundaries still follow the content.
     sizes = np.diff(ends, prepend=0)
-    if (sizes > LONGEST).any():
-        extra = [np.arange(e - s + LONGEST, e, LONGEST) for e, s in zip(ends[sizes > LONGEST], sizes[sizes > LONGEST])]
-        ends = np.union1d(ends, np.concatenate(extra))
-        sizes = np.diff(ends, prepend=0)
-    # Chunks that are too short join the next one of their text.
-    short = (sizes < SHORTEST) & ~np.isin(ends, text_ends)
-    return ends[~short]
+    extra = []
+    for end, start in zip(ends[sizes > LONGEST].tolist(), (ends - sizes)[sizes > LONGEST].tolist()):
+        begin = int(offsets[np.searchsorted(offsets, start, side="right") - 1])
+        while end - start > LONGEST:
+            low = max(start + 1, begin + WINDOW)
+            reach = gear[low - 1 : start + LONGEST]
+            start = low + len(reach) - 1 - int(np.argmin(reach[::-1]))
+            extra.append(start)
+    return np.union1d(ends, np.array(extra, np.int64))
 
 
 def chunk_texts(texts: pa.Array, average: int = AVERAGE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
