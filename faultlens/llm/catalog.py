@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultlens.llm import bpe, chunks, decontaminate, langid, line_windows, nra, simhash, simple8b, tag_paths
+from faultlens.llm import bpe, chunks, decontaminate, hpylm, langid, line_windows, nra, simhash, simple8b, tag_paths
 from faultlens.operators.sizing import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +37,11 @@ def id_remainder(key: str, n: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")), F.lit(n))
 
 
+@query("op1_hpylm")
+def op1_hpylm(spark: SparkSession, folder: str) -> DataFrame:
+    return hpylm.score_texts(table(spark, folder, "documents"), id_remainder("doc_id", 10) == 0)
+
+
 @query("op2_simple8b")
 def op2_simple8b(spark: SparkSession, folder: str) -> DataFrame:
     files = f"{shared_folder(spark).rstrip('/')}/faultlens-{spark.sparkContext.applicationId}/ids-{uuid.uuid4().hex}"
