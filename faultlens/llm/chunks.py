@@ -104,8 +104,8 @@ def _open(ids: bytes, chunks: bytes) -> tuple[np.ndarray, ...]:
 
 
 def repeated_passages(docs: DataFrame, words: int = WORDS, average: int = AVERAGE, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, start, end (bytes of the UTF-8 text), n_words, source: a document with a smaller id in
-    which the passage's first chunk stands. One row for each repeated passage."""
+    """key, start, end (bytes of the UTF-8 text), n_words, source: the smallest id of a document in
+    which the passage's longest chunk stands. One row for each repeated passage."""
     spark = docs.sparkSession
     parts = ranges(spark)
     blocks = settle(_blocks(docs, key, text, average))
@@ -161,7 +161,12 @@ def repeated_passages(docs: DataFrame, words: int = WORDS, average: int = AVERAG
         sums = np.concatenate(([0], np.cumsum(many)))
         total = sums[b + 1] - sums[a]
         a, b, total = a[total >= words], b[total >= words], total[total >= words]
-        columns = (doc[a], (ends - size - base)[a], (ends - base)[b], total, first[at[a]])
+        # The source is that of the run's longest chunk; short chunks stand in many documents.
+        inside = np.repeat(np.arange(len(a)), b - a + 1)
+        place = np.arange(len(inside)) + np.repeat(a - np.concatenate(([0], np.cumsum(b - a + 1)[:-1])), b - a + 1) if len(a) else a
+        order = np.lexsort((place, -size[place], inside))
+        longest = place[order][np.searchsorted(inside, np.arange(len(a)))]
+        columns = (doc[a], (ends - size - base)[a], (ends - base)[b], total, first[at[longest]])
         return pa.table(dict(zip((key, "start", "end", "n_words", "source"), (pa.array(c, pa.int64()) for c in columns))))
 
     asked = blocks.mapInArrow(ask, "part int, block long, payload binary")

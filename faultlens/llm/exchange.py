@@ -8,6 +8,7 @@ entries of all blocks meet in one group.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import SparkSession
 
 #: Key ranges for each shuffle partition, so that ranges dealt by a hash fill partitions evenly.
@@ -26,6 +27,8 @@ def cuts(keys: np.ndarray, parts: int) -> np.ndarray:
 
 def planes(values: np.ndarray) -> bytes:
     """Bytes of the values, place by place, so that equal high bytes lie together and pack well."""
+    if not len(values):
+        return b""
     return np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T.tobytes()
 
 
@@ -35,14 +38,19 @@ def from_planes(data: bytes, n: int, kind: type) -> np.ndarray:
 
 
 def bundle(*columns: np.ndarray) -> bytes:
-    """Columns of one length as one value: the length, then the columns' planes."""
-    return len(columns[0]).to_bytes(8, "little") + b"".join(planes(c) for c in columns)
+    """Columns of one length as one packed value: the length, then the columns' planes."""
+    n = len(columns[0])
+    raw = b"".join(planes(c) for c in columns)
+    return n.to_bytes(8, "little") + (pa.compress(raw, "zstd", asbytes=True) if n else b"")
 
 
 def unbundle(data: bytes, *kinds: type) -> list[np.ndarray]:
-    n, at, out = int.from_bytes(data[:8], "little"), 8, []
-    for kind in kinds:
-        size = n * np.dtype(kind).itemsize
-        out.append(from_planes(data[at : at + size], n, kind))
+    n, at, out = int.from_bytes(data[:8], "little"), 0, []
+    if not n:
+        return [np.empty(0, k) for k in kinds]
+    sizes = [n * np.dtype(k).itemsize for k in kinds]
+    raw = pa.decompress(data[8:], sum(sizes), "zstd", asbytes=True)
+    for kind, size in zip(kinds, sizes):
+        out.append(from_planes(raw[at : at + size], n, kind))
         at += size
     return out

@@ -40,7 +40,7 @@ from faultlens.operators.sizing import settle
 
 END = np.uint64(0x5EED0E4DC0FFEE11)  # the end token, in place of a word's hash
 EXACT = 128
-BLOCK_BYTES = 12_000_000
+BLOCK_BYTES = 4_000_000
 _48 = np.uint64(16)  # words are known to pairs by the upper 48 bits of their hash
 
 
@@ -49,7 +49,7 @@ class Settings:
     strength: float = 1.0  # of the context restaurants
     root_strength: float = 1.0
     burn_in: int = 1  # sweeps before those that are averaged
-    samples: int = 3
+    samples: int = 2
     add: float = 0.1  # of the base model
     seed: int = 11
 
@@ -127,7 +127,7 @@ def _blocks(docs: DataFrame, key: str, text: str, held_out: Column) -> DataFrame
 
 
 def _steps(ascending: np.ndarray) -> np.ndarray:
-    return np.diff(ascending, prepend=np.uint64(0))
+    return np.diff(ascending, prepend=ascending.dtype.type(0))
 
 
 @dataclass
@@ -153,11 +153,11 @@ class Block:
         before[np.cumsum(self.sizes) - self.sizes] = end
         short = self.words >> _48
         self.word_part = part_of(short, self.parts)
-        # Pairs by range, then context, then word. A context's pairs lie in up to 16 ranges.
+        # Pairs by range, then context, then word. A context's pairs lie in up to 8 ranges.
         pair = before * len(self.words) + self.tokens
         unique, inverse = np.unique(pair, return_inverse=True)
         u, w = unique // len(self.words), unique % len(self.words)
-        part = (mix(short[u] * np.uint64(16) + (short[w] & np.uint64(15))) % np.uint64(self.parts)).astype(np.int64)
+        part = (mix(short[u] * np.uint64(8) + (short[w] & np.uint64(7))) % np.uint64(self.parts)).astype(np.int64)
         order = np.argsort(part, kind="stable")  # words ascend with their numbers, so u and w are in order
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
@@ -213,8 +213,16 @@ def _count(kind: int, part: int, asked: list[tuple[int, bytes]]) -> pa.Table:
     # Words that stand twice, and pairs that do, have tables to share; others follow from their count.
     kept = count > 1
     number = np.cumsum(kept) - 1
+    columns = tuple(c[kept] for c in columns)
     summary = (int(count.sum()), int((count > 0).sum()), int((count == 1).sum()), int((count == 2).sum()))
-    rows = [(kind, part, -1, bundle(*(c[kept] for c in columns), count[kept]), *summary)]
+    if kind == 0:
+        rows = [(kind, part, -1, bundle(*columns, count[kept]), *summary)]
+    else:
+        # Restaurants by number: the words once (block -2), then context, word and customers of each pair.
+        named = distinct(np.concatenate(columns))
+        numbers = [np.searchsorted(named, c).astype(np.uint32) for c in columns]
+        rows = [(kind, part, -1, bundle(_steps(numbers[0]), numbers[1], count[kept].astype(np.uint32)), *summary)]
+        rows.append((kind, part, -2, bundle(_steps(named)), 0, 0, 0, 0))
     at = 0
     for (block, _), columns_ in zip(asked, own):
         n = len(columns_[-1])
@@ -267,25 +275,22 @@ def score_texts(docs: DataFrame, held_out: Column, settings: Settings = Settings
 
     word_state = counted.filter("kind = 0 and block = -1").select("part", "payload")
     pair_state = counted.filter("kind = 1 and block = -1").select("part", "payload")
-    # Restaurants before the first sweep: one table for each dish.
-    start = pair_state.withColumn("tables", F.lit(None).cast("binary")).withColumn("told", F.lit(None).cast("binary"))
-    seats, heard, chain = start, None, []
+    # What pair ranges say next: the words that they name, and the customers who share a table. Before the
+    # first sweep every dish has one table.
+    names_of = counted.filter("kind = 1 and block = -2").select("part", F.col("payload").alias("named"))
+    seats, chain = None, []
     for sweep in range(s.burn_in + s.samples):
         keep = sweep >= s.burn_in
 
-        def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def report(names: tuple, own: pa.Table, held: pa.Table) -> pa.Table:
             """Customers that share a table, by context and by word, to the word ranges."""
-            for batch in batches:
-                for part, payload, tables in zip(*(batch.column(c).to_pylist() for c in ("part", "payload", "tables"))):
-                    u, w, c = unbundle(payload, np.uint64, np.uint64, np.int64)
-                    if not len(c):
-                        continue
-                    t = unbundle(tables, np.uint32)[0].astype(np.int64) if tables else np.ones(len(c), np.int64)
-                    named = distinct(np.concatenate((u, w)))
-                    by_u = np.bincount(np.searchsorted(named, u), c - t, len(named)).astype(np.uint64)
-                    by_w = np.bincount(np.searchsorted(named, w), c - t, len(named)).astype(np.uint64)
-                    for p, at in _runs(part_of(named, parts)):
-                        yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([part], pa.int32()), pa.array([bundle(_steps(named[at]), by_u[at], by_w[at])])], ["part", "origin", "payload"])
+            named = np.cumsum(unbundle(held.column("named")[0].as_py(), np.uint64)[0], dtype=np.uint64)
+            u, w, c, t, _ = _restaurants(own)
+            by_u = np.bincount(u, c - t, len(named)).astype(np.uint32)
+            by_w = np.bincount(w, c - t, len(named)).astype(np.uint32)
+            rows = [(p, names[0].as_py(), bundle(_steps(named[at]), by_u[at], by_w[at])) for p, at in _runs(part_of(named, parts))]
+            kinds = (pa.int32(), pa.int32(), pa.binary())
+            return pa.table([pa.array(x, k) for x, k in zip(zip(*rows) if rows else [[]] * 3, kinds)], names=["part", "origin", "payload"])
 
         root = chain[-1][1:] if chain else (tokens, words)
 
@@ -295,7 +300,7 @@ def score_texts(docs: DataFrame, held_out: Column, settings: Settings = Settings
             part, short = names[0].as_py(), keys >> _48
             shared_u, shared_w, asks = np.zeros(len(c), np.int64), np.zeros(len(c), np.int64), []
             for origin, payload in sorted(zip(told.column("origin").to_pylist(), told.column("payload").to_pylist())):
-                steps, by_u, by_w = unbundle(payload, np.uint64, np.uint64, np.uint64)
+                steps, by_u, by_w = unbundle(payload, np.uint64, np.uint32, np.uint32)
                 at = np.minimum(np.searchsorted(short, np.cumsum(steps, dtype=np.uint64)), len(c) - 1)
                 np.add.at(shared_u, at, by_u.astype(np.int64))
                 np.add.at(shared_w, at, by_w.astype(np.int64))
@@ -310,7 +315,10 @@ def score_texts(docs: DataFrame, held_out: Column, settings: Settings = Settings
             kinds = (pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64())
             return pa.table([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names=["part", "origin", "payload", "shared", "extra"])
 
-        reports = seats.select("part", "payload", "tables").mapInArrow(report, "part int, origin int, payload binary")
+        state = pair_state.withColumn("what", F.lit(0))
+        if seats is not None:
+            state = state.unionByName(seats)
+        reports = state.groupBy("part").cogroup(names_of.groupBy("part")).applyInArrow(report, "part int, origin int, payload binary")
         heard = settle(reports.groupBy("part").cogroup(word_state.groupBy("part")).applyInArrow(parent, "part int, origin int, payload binary, shared long, extra long"))
         shared, extra = heard.filter("part = -1").agg(F.coalesce(F.sum("shared"), F.lit(0)), F.coalesce(F.sum("extra"), F.lit(0))).first()
         # Totals of the parent: customers, and tables (one for each word, and the drawn ones).
@@ -320,26 +328,19 @@ def score_texts(docs: DataFrame, held_out: Column, settings: Settings = Settings
 
         def seat(names: tuple, own: pa.Table, told: pa.Table) -> pa.Table:
             """Draw the table numbers of a pair range's restaurants."""
-            payload = own.column("payload")[0].as_py()
-            u, w, c = unbundle(payload, np.uint64, np.uint64, np.int64)
-            if not len(c):
-                return _seats(names, payload, None, None)
-            before, summed = own.column("tables")[0].as_py(), own.column("told")[0].as_py()
-            t = unbundle(before, np.uint32)[0].astype(np.int64) if before else np.ones(len(c), np.int64)
-            named = distinct(np.concatenate((u, w)))
+            u, w, c, t, total = _restaurants(own)
             answers = dict(zip(told.column("origin").to_pylist(), told.column("payload").to_pylist()))
-            found = [unbundle(answers[p], np.float32, np.float32) for p, _ in _runs(part_of(named, parts))]
+            if not len(c):
+                return _seats([])
+            # Word ranges ascend, and each answered in the order of the report.
+            found = [unbundle(answers[p], np.float32, np.float32) for p in sorted(answers)]
             tables, number = (np.concatenate(x).astype(float) for x in zip(*found))
-            iu, iw = np.searchsorted(named, u), np.searchsorted(named, w)
-            chance = (number[iw] + (s.root_strength + d0 * totals[1]) / (words + 1)) / (s.root_strength + totals[0])
-            x = (s.strength + d * np.maximum(tables[iu] - t, 0)) * chance
+            chance = (number[w] + (s.root_strength + d0 * totals[1]) / (words + 1)) / (s.root_strength + totals[0])
+            x = (s.strength + d * np.maximum(tables[u] - t, 0)) * chance
             t = draw_tables(c, np.maximum(x, 1e-300), d, np.random.default_rng([s.seed, sweep, names[0].as_py(), 1]))
-            total = unbundle(summed, np.uint32)[0].astype(np.int64) if summed else np.zeros(len(c), np.int64)
-            return _seats(names, payload, bundle(t.astype(np.uint32)), bundle((total + (t if keep else 0)).astype(np.uint32)))
+            return _seats([(names[0].as_py(), bundle(t.astype(np.uint32), (total + (t if keep else 0)).astype(np.uint32)), 1)])
 
-        seats = settle(
-            seats.groupBy("part").cogroup(heard.filter("part >= 0").groupBy("part")).applyInArrow(seat, "part int, payload binary, tables binary, told binary")
-        )
+        seats = settle(state.groupBy("part").cogroup(heard.filter("part >= 0").groupBy("part")).applyInArrow(seat, "part int, payload binary, what int"))
 
     # Answers to the blocks: words with tables and customers of every sample, pairs with mean tables.
     samples = chain[s.burn_in :]
@@ -348,22 +349,19 @@ def score_texts(docs: DataFrame, held_out: Column, settings: Settings = Settings
         own = told.filter("part = -1").select(F.col("origin").alias("part"), F.lit(k).alias("k"), "payload")
         spoken = own if spoken is None else spoken.unionByName(own)
     asks = lambda kind: counted.filter(f"kind = {kind} and block >= 0").select("part", "block", "payload")
-    none = F.lit(None).cast("binary")
-    counts_of = lambda state: state.select("part", F.lit(-1).cast("long").alias("block"), "payload", none.alias("sums"))
-    word_rows = counts_of(word_state).unionByName(spoken.select("part", (-2 - F.col("k")).cast("long").alias("block"), "payload", none.alias("sums")))
-    pair_rows = seats.select("part", F.lit(-1).cast("long").alias("block"), "payload", F.col("told").alias("sums"))
+    word_rows = word_state.withColumn("what", F.lit(-1)).unionByName(spoken.select("part", "payload", F.col("k").alias("what")))
+    pair_rows = pair_state.withColumn("what", F.lit(0)).unionByName(seats)
 
     def answer(kind: int):
         def run(names: tuple, asked: pa.Table, own: pa.Table) -> pa.Table:
-            part, held = names[0].as_py(), {r["block"]: r for r in own.to_pylist()}
+            part, held = names[0].as_py(), dict(zip(own.column("what").to_pylist(), own.column("payload").to_pylist()))
             if kind == 0:
-                _, c = unbundle(held[-1]["payload"], np.uint64, np.int64)
-                each = [unbundle(held[-2 - k]["payload"], np.float32, np.float32) for k in range(s.samples)]
+                _, c = unbundle(held[-1], np.uint64, np.int64)
+                each = [unbundle(held[k], np.float32, np.float32) for k in range(s.samples)]
                 columns = [c.astype(np.float64), *(x.astype(np.float32) for pair in each for x in pair)]
                 single = [1.0, *[1.0, 1.0 - d0] * s.samples]
             else:
-                _, _, c = unbundle(held[-1]["payload"], np.uint64, np.uint64, np.int64)
-                total = unbundle(held[-1]["sums"], np.uint32)[0] if held[-1]["sums"] else np.zeros(0, np.uint32)
+                _, _, c, _, total = _restaurants(own)
                 columns, single = [(c - d * total / s.samples).astype(np.float32)], [1.0 - d]
             columns = [np.concatenate(([one], x)).astype(x.dtype) for one, x in zip(single, columns)]
             rows = []
@@ -422,6 +420,19 @@ def score_texts(docs: DataFrame, held_out: Column, settings: Settings = Settings
     return blocks.groupBy("block").cogroup(said[0].unionByName(said[1]).groupBy("block")).applyInArrow(score, schema)
 
 
-def _seats(names: tuple, payload: bytes, tables: bytes | None, told: bytes | None) -> pa.Table:
-    kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary())
-    return pa.table([pa.array([x], k) for x, k in zip((names[0].as_py(), payload, tables, told), kinds)], names=["part", "payload", "tables", "told"])
+def _seats(rows: list[tuple]) -> pa.Table:
+    columns = zip(*rows) if rows else [[]] * 3
+    return pa.table([pa.array(x, k) for x, k in zip(columns, (pa.int32(), pa.binary(), pa.int32()))], names=["part", "payload", "what"])
+
+
+def _restaurants(own: pa.Table) -> tuple[np.ndarray, ...]:
+    """Context, word, customers, tables and summed tables of a pair range's pairs. Row 0 has the
+    pairs, row 1, once there is one, the seats."""
+    held = dict(zip(own.column("what").to_pylist(), own.column("payload").to_pylist()))
+    steps, w, c = unbundle(held[0], np.uint32, np.uint32, np.uint32)
+    u, c = np.cumsum(steps.astype(np.int64)), c.astype(np.int64)
+    if 1 in held:
+        t, total = (x.astype(np.int64) for x in unbundle(held[1], np.uint32, np.uint32))
+    else:
+        t, total = np.ones(len(c), np.int64), np.zeros(len(c), np.int64)
+    return u, w.astype(np.int64), c, t, total
