@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from html.entities import name2codepoint
+import html
+import json
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -20,7 +22,8 @@ TEMPLATE_PHRASES = (
 # Where a text node ends: script and style with their content, comments, declarations, tags.
 _NODE_BREAK = (
     r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->|<[!?][^>]*>"
-    r"|</?[a-z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>"
+    # Possessive runs: read in a loop, without a step on the stack for each character.
+    r"|</?[a-z](?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>"
 )
 _EDGE_BLANKS = r"(?U)^[\s\u001c-\u001f]+|[\s\u001c-\u001f]+$"
 
@@ -29,32 +32,57 @@ def strip_blanks(text: Column) -> Column:
     return F.regexp_replace(text, _EDGE_BLANKS, "")
 
 
-def _character(code: Column) -> Column:
-    return F.decode(F.unhex(F.lpad(F.hex(code.cast("int")), 8, "0")), "UTF-32")
+# Character references as in the HTML standard. The names, and the numbers that do not stand for
+# their own character, come from Python's tables; names without ';' count as beginnings of longer words.
+_NAMES = json.dumps(html5)
+_BARE_NAMES = "|".join(sorted((n for n in html5 if not n.endswith(";")), key=len, reverse=True))
+_SPECIAL_NUMBERS = json.dumps(
+    {
+        str(code): shown
+        for code in [*range(160), *range(0xFDD0, 0xFDF0), *(plane << 16 | low for plane in range(17) for low in (0xFFFE, 0xFFFF))]
+        if (shown := html.unescape(f"&#{code};")) != chr(code)
+    }
+)
+_REPLACEMENT = "\ufffd"  # for surrogates and numbers beyond the last character
+
+
+def _numbered(code: Column, special: Column) -> Column:
+    valid = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+    plain = F.decode(F.unhex(F.lpad(F.hex(F.when(valid, code).otherwise(0xFFFD).cast("int")), 8, "0")), "UTF-32")
+    return F.coalesce(F.try_element_at(special, code.cast("string")), F.when(valid, plain).otherwise(_REPLACEMENT))
+
+
+def _number(digits: Column, base: int, longest: int) -> Column:
+    """Value of a run of digits of any length; one too long for a character is a large number."""
+    short = F.regexp_replace(digits, "^0+", "")
+    value = F.coalesce(F.conv(F.substring(short, 1, longest), base, 10).try_cast("long"), F.lit(0).cast("long"))
+    return F.when(F.length(short) > longest, F.lit(0x110000).cast("long")).otherwise(value)
 
 
-def _decode_piece(piece: Column, names: Column) -> Column:
+def _decode_piece(piece: Column, names: Column, special: Column) -> Column:
     """A piece is what follows an '&': decode the reference it starts with, if it is one."""
-    digits = F.regexp_extract(piece, r"^#([0-9]{1,7});?", 1)
-    hexa = F.regexp_extract(piece, r"^#[xX]([0-9a-fA-F]{1,6});?", 1)
-    name = F.regexp_extract(piece, r"^([a-zA-Z][a-zA-Z0-9]*);?", 1)
-    named = F.try_element_at(names, name)
-    rest = F.regexp_replace(piece, r"^#?[a-zA-Z0-9]+;?", "")
+    digits = F.regexp_extract(piece, r"^#([0-9]++);?", 1)
+    hexa = F.regexp_extract(piece, r"^#[xX]([0-9a-fA-F]++);?", 1)
+    word = F.regexp_extract(piece, r"^[^\t\n\f <&#;]{1,32};?", 0)
+    bare = F.regexp_extract(piece, rf"^(?:{_BARE_NAMES})", 0)
+    after = lambda pattern: F.regexp_replace(piece, pattern, "")
+    behind = lambda start: F.substring(piece, F.length(start) + 1, F.length(piece))
     return (
-        F.when(digits != "", F.concat(_character(digits.cast("int")), rest))
-        .when(hexa != "", F.concat(_character(F.conv(hexa, 16, 10)), rest))
-        .when(named.isNotNull(), F.concat(named, rest))
+        F.when(digits != "", F.concat(_numbered(_number(digits, 10, 7), special), after(r"^#[0-9]++;?")))
+        .when(hexa != "", F.concat(_numbered(_number(hexa, 16, 6), special), after(r"^#[xX][0-9a-fA-F]++;?")))
+        .when(F.try_element_at(names, word).isNotNull(), F.concat(F.try_element_at(names, word), behind(word)))
+        .when(bare != "", F.concat(F.try_element_at(names, bare), behind(bare)))
         .otherwise(F.concat(F.lit("&"), piece))
     )
 
 
-def decode_entities(text: Column, names: dict[str, int] = name2codepoint) -> Column:
-    """Decode character references in one left-to-right pass; unknown names stay as they are."""
-    table = F.create_map(*[F.lit(x) for name, code in names.items() for x in (name, chr(code))])
+def decode_entities(text: Column) -> Column:
+    """Decode character references in one left-to-right pass; what is none stays as it is."""
+    table = lambda text: F.from_json(F.lit(text), "map<string,string>")
 
     def join_decoded(pieces: Column) -> Column:
         later = F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0)))
-        decoded = F.transform(later, lambda p: _decode_piece(p, table))
+        decoded = F.transform(later, lambda p: _decode_piece(p, table(_NAMES), table(_SPECIAL_NUMBERS)))
         return F.concat(F.element_at(pieces, 1), F.array_join(decoded, ""))
 
     return F.when(~text.contains("&"), text).otherwise(bind(F.split(text, "&"), join_decoded))

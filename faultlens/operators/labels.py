@@ -31,7 +31,9 @@ def usable_labels(dictionary: DataFrame) -> DataFrame:
 
 
 def label_pairs(paths: DataFrame, table: DataFrame, broadcast_rows=BROADCAST_ROWS, hot_rows=HOT_ROWS) -> DataFrame:
-    """Distinct (report, label) in long form, from long paths and the raw dictionary rows."""
+    """Distinct (report, label) in long form, from long paths and the raw dictionary rows.
+
+    A blank path names no file: it is left out, though the original would look it up."""
     usable = settle(usable_labels(dedupe_last_wins(table)).withColumnRenamed("file", "_file"))
     keyed = paths.select("bug_id", label_path(F.col("path")).alias("_file")).filter(F.col("_file") != "")
     joined = lookup_join(keyed, usable, "_file", "inner", broadcast_rows, hot_rows)
@@ -58,7 +60,7 @@ def frequent_labels(df: DataFrame, min_frequency: int = 10, column: str = "label
 
 
 def keep_listed_labels(
-    df: DataFrame, keep: DataFrame, column: str = "labels", key: str = "bug_id", limit: int = IN_ROW_LIMIT
+    df: DataFrame, keep: DataFrame, column: str = "labels", limit: int = IN_ROW_LIMIT
 ) -> DataFrame:
     """Drop from each list the labels not in ``keep``; order stays and so do emptied rows.
 
@@ -67,12 +69,14 @@ def keep_listed_labels(
     kept = bounded_values(keep, "label", limit)
     if kept is not None:
         return df.withColumn(column, F.filter(column, lambda label: label.isin(kept) if kept else F.lit(False)))
-    rows = df.select(key, F.posexplode_outer(column).alias("_pos", "label"))
-    marked = skew_join(rows, keep.select("label", F.lit(True).alias("_keep")), "label", "left")
-    item = F.when(F.col("_keep"), F.struct("_pos", "label"))
-    lists = marked.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("_kept"))
-    rebuilt = df.drop(column).join(lists, key)
-    return rebuilt.withColumn(column, F.transform("_kept", lambda s: s["label"])).select(df.columns)
+    # Rows get a number of their own, as ids may repeat; written, so that it stays.
+    numbered = settle(df.withColumn("_row", F.monotonically_increasing_id()))
+    rows = numbered.select("_row", F.posexplode(column).alias("_pos", "label"))
+    marked = skew_join(rows, keep.select("label", F.lit(True).alias("_keep")).distinct(), "label", "left")
+    kept_rows = marked.filter("_keep").groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("_pos", "label"))).alias("_kept"))
+    rebuilt = numbered.join(kept_rows, "_row", "left")
+    none = F.when(F.col(column).isNotNull(), F.array().cast(df.schema[column].dataType))
+    return rebuilt.withColumn(column, F.coalesce(F.transform("_kept", lambda s: s["label"]), none)).select(df.columns)
 
 
 def keep_frequent_labels(df: DataFrame, min_frequency: int = 10, limit: int = IN_ROW_LIMIT) -> DataFrame:

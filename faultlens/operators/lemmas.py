@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from faultlens.functions import text as T
 from faultlens.functions.wordlists import ENGLISH_STOP_WORDS, NOUN_SUFFIX_RULES
-from faultlens.operators.sizing import BROADCAST_ROWS, HOT_ROWS, lookup_join
+from faultlens.operators.sizing import BROADCAST_ROWS, HOT_ROWS, lookup_join, settle
 
 SENT_LEMMAS = 500_000  # (form, lemma) pairs that may be sent to every executor
 
@@ -65,7 +65,7 @@ def _replace_in_batches(df: DataFrame, tokens: str, pairs: list[tuple[str, str]]
             sizes = pc.fill_null(pc.list_value_length(lists), 0)
             ends = pc.cumulative_sum(sizes.cast(pa.int32()))
             offsets = pa.concat_arrays([pa.array([0], pa.int32()), ends])
-            yield pa.ListArray.from_arrays(offsets, pc.coalesce(found, flat))
+            yield pa.ListArray.from_arrays(offsets, pc.coalesce(found, flat), mask=lists.is_null())
 
     return df.withColumn(tokens, replace(F.col(tokens)))
 
@@ -74,26 +74,29 @@ def lemmatize(
     df: DataFrame,
     lemmas: DataFrame,
     tokens: str = "tokens",
-    key: str = "id",
     limit: int = SENT_LEMMAS,
     broadcast_rows: int = BROADCAST_ROWS,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Replace each token by its lemma; tokens without one stay.
+    """Replace each token by its lemma; tokens without one stay, and so does a null list. Of a form
+    with several lemmas the first in order counts.
 
     A table of up to ``limit`` rows is sent to the executors, and rows stay where they are. A
     larger one is joined: only the distinct (row, word) pairs travel, and what comes back per row
     is the short list of changed words.
     """
+    lemmas = settle(lemmas.filter(F.col("form").isNotNull() & F.col("lemma").isNotNull()).groupBy("form").agg(F.min("lemma").alias("lemma")))
     pairs = [tuple(r) for r in lemmas.select("form", "lemma").limit(limit + 1).collect()]
     if not pairs:
         return df
     if len(pairs) <= limit:
         return _replace_in_batches(df, tokens, pairs)
-    words = df.select(key, F.explode(F.array_distinct(tokens)).alias("form"))
-    found = lookup_join(words, lemmas.select("form", "lemma"), "form", "inner", broadcast_rows, hot_rows)
-    changes = found.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("form", "lemma"))).alias("_lemmas"))
-    joined = df.join(changes, key, "left")
+    # Rows get a number of their own, as ids may repeat; written, so that it stays.
+    numbered = settle(df.withColumn("_row", F.monotonically_increasing_id()))
+    words = numbered.select("_row", F.explode(F.array_distinct(tokens)).alias("form"))
+    found = lookup_join(words, lemmas, "form", "inner", broadcast_rows, hot_rows)
+    changes = found.groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("form", "lemma"))).alias("_lemmas"))
+    joined = numbered.join(changes, "_row", "left")
     replaced = F.transform(tokens, lambda t: F.coalesce(F.try_element_at("_lemmas", t), t))
     return joined.withColumn(tokens, F.when(F.col("_lemmas").isNull(), F.col(tokens)).otherwise(replaced)).select(df.columns)
 
@@ -102,12 +105,11 @@ def preprocess_text(
     df: DataFrame,
     lemmas: DataFrame | None,
     text: str = "text_input",
-    key: str = "id",
     stop_words=ENGLISH_STOP_WORDS,
     **limits,
 ) -> DataFrame:
     """Template, camel case, cleaning, stop words, lemmas; result in ``processed_text``."""
     tokenised = df.withColumn("tokens", T.content_tokens(F.col(text), stop_words))
     if lemmas is not None:
-        tokenised = lemmatize(tokenised, lemmas, key=key, **limits)
+        tokenised = lemmatize(tokenised, lemmas, **limits)
     return tokenised.withColumn("processed_text", F.array_join("tokens", " ")).drop("tokens")

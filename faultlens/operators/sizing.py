@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 IN_ROW_LIMIT = 5_000  # values held as one literal array next to every row
 BROADCAST_ROWS = 1_000_000  # rows of a lookup table that may be sent to every executor
 HOT_ROWS = 2_000_000  # rows of one key that one task is asked to take
-HOT_KEYS = 1_000  # keys that get their own salt; any other key has under 1/1000 of the rows
+SENT_BYTES = 64 << 20  # of a lookup table that may be sent to every executor
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -44,6 +44,14 @@ def settle(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def may_be_sent(df: DataFrame, rows: int | None = None, size: int = SENT_BYTES) -> bool:
+    """Whether a table is small enough for every executor, by its rows and by its measured bytes
+    (the text of its rows as JSON). Never reads past the row limit."""
+    held = df.limit((rows or BROADCAST_ROWS) + 1)
+    n, width = held.agg(F.count("*"), F.sum(F.length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))))).first()
+    return n <= (rows or BROADCAST_ROWS) and (width or 0) <= size
+
+
 def has_at_most(df: DataFrame, rows: int) -> bool:
     """Size check that never reads past the limit."""
     return df.limit(rows + 1).count() <= rows
@@ -59,24 +67,25 @@ def literal_array(values: list, element: str = "string") -> Column:
     return F.lit(values).cast(f"array<{element}>") if values else F.array().cast(f"array<{element}>")
 
 
-def hot_keys(df: DataFrame, key: str, hot_rows: int = HOT_ROWS, top: int = HOT_KEYS) -> list[tuple]:
-    """(key, number of slices) of the largest keys over ``hot_rows`` rows; at most ``top`` of them.
+def hot_keys(df: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """(key, number of slices) of every key over ``hot_rows`` rows, as a written table.
 
     Counting combines before the shuffle, so a key with a third of the rows costs no more here
     than any other.
     """
-    heavy = df.groupBy(key).count().filter(F.col("count") > hot_rows)
-    rows = heavy.orderBy(F.desc("count"), key).limit(top).collect()
-    return [(r[0], math.ceil(r[1] / hot_rows)) for r in rows if r[0] is not None]
+    heavy = df.groupBy(key).count().filter((F.col("count") > hot_rows) & F.col(key).isNotNull())
+    return settle(heavy.select(key, F.ceil(F.col("count") / F.lit(hot_rows)).cast("int").alias("_slices")))
 
 
-def _with_slices(df: DataFrame, key: str, hot: list[tuple], name: str) -> DataFrame:
-    if not hot:
+def _with_slices(df: DataFrame, key: str, hot: DataFrame | None, name: str) -> DataFrame:
+    """The number of slices of each row's key. The list has a row for each ``hot_rows`` rows at
+    most; one too long to send is joined."""
+    if hot is None:
         return df.withColumn(name, F.lit(1))
-    kind = df.schema[key].dataType.simpleString()
-    sizes = df.sparkSession.createDataFrame(hot, f"`{key}` {kind}, `{name}` int")
-    # At most HOT_KEYS rows by construction.
-    return df.join(F.broadcast(sizes), key, "left").withColumn(name, F.coalesce(F.col(name), F.lit(1)))
+    sizes = hot.withColumnRenamed("_slices", name)
+    if may_be_sent(sizes):
+        sizes = F.broadcast(sizes)
+    return df.join(sizes, key, "left").withColumn(name, F.coalesce(F.col(name), F.lit(1)))
 
 
 def skew_join(
@@ -85,9 +94,8 @@ def skew_join(
     key: str,
     how: str = "inner",
     hot_rows: int = HOT_ROWS,
-    top: int = HOT_KEYS,
-    hot_left: list[tuple] | None = None,
-    hot_right: list[tuple] | None = None,
+    hot_left: DataFrame | None = None,
+    count_right: bool = True,
 ) -> DataFrame:
     """Equi-join in which a hot key on either side is cut into slices.
 
@@ -95,12 +103,18 @@ def skew_join(
     for each slice, and the other way round, so each pair still meets exactly once. Other keys
     are neither spread nor repeated. For joins other than inner only the left side is spread.
     Callers that join the same side again pass its hot keys instead of having them counted again.
+    A side that is counted here is written first, so that it is not made a second time for the join.
     """
     if hot_left is None:
-        hot_left = hot_keys(left, key, hot_rows, top)
-    if hot_right is None or how != "inner":
-        hot_right = hot_keys(right, key, hot_rows, top) if how == "inner" else []
-    if not hot_left and not hot_right:
+        left = settle(left)
+        hot_left = hot_keys(left, key, hot_rows)
+    hot_left = None if hot_left.isEmpty() else hot_left
+    hot_right = None
+    if how == "inner" and count_right:
+        right = settle(right)
+        hot_right = hot_keys(right, key, hot_rows)
+        hot_right = None if hot_right.isEmpty() else hot_right
+    if hot_left is None and hot_right is None:
         return left.join(right, key, how)
 
     sides = []
@@ -122,9 +136,9 @@ def lookup_join(
     broadcast_rows: int = BROADCAST_ROWS,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Join with a lookup table that has one row per key: sent to the executors when its counted
-    size allows (no shuffle of the facts), else a shuffle join that cuts hot keys."""
-    if has_at_most(table, broadcast_rows):
+    """Join with a lookup table that has one row per key: sent to the executors when its counted rows
+    and measured bytes allow (no shuffle of the facts), else a shuffle join that cuts hot keys."""
+    if may_be_sent(table, broadcast_rows) if broadcast_rows else False:
         return facts.join(F.broadcast(table), key, how)
     return skew_join(facts, table, key, how, hot_rows)
 

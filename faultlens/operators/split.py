@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from faultlens.functions.binding import bind
 from faultlens.functions.draws import draw_key
 from faultlens.operators.labels import label_frequency
 from faultlens.operators.sizing import (
@@ -27,8 +28,8 @@ POOLED = "\u0000pooled"
 
 
 def label_vocabulary(df: DataFrame, column: str = "label_list", limit: int = IN_ROW_LIMIT) -> DataFrame:
-    """Sorted distinct labels with a 0-based index."""
-    labels = settle(df.select(F.explode(column).alias("label")).distinct())
+    """Sorted distinct labels with a 0-based index; a null is no label."""
+    labels = settle(df.select(F.explode(column).alias("label")).filter(F.col("label").isNotNull()).distinct())
     spark = df.sparkSession
     values = bounded_values(labels, "label", limit)
     if values is None:
@@ -37,17 +38,24 @@ def label_vocabulary(df: DataFrame, column: str = "label_list", limit: int = IN_
     return spark.createDataFrame(indexed, "label string, label_idx int")
 
 
-def vocabulary_list(vocabulary: DataFrame, limit: int = IN_ROW_LIMIT) -> list[str]:
-    rows = vocabulary.orderBy("label_idx").limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError("a multi-hot row this wide does not fit beside the data; use label_indices")
-    return [r["label"] for r in rows]
-
-
 def binarize(df: DataFrame, vocabulary: DataFrame, column: str = "label_list", limit: int = IN_ROW_LIMIT) -> DataFrame:
-    """Multi-hot row ``y``; labels outside the vocabulary vanish, the row stays."""
-    listed = literal_array(vocabulary_list(vocabulary, limit))
-    return df.withColumn("y", F.transform(listed, lambda v: F.array_contains(column, v).cast("int")))
+    """Multi-hot row ``y``; labels outside the vocabulary vanish, the row stays.
+
+    A vocabulary of up to ``limit`` labels is held next to each row; with a larger one a row's labels are
+    looked up by a join, and its numbers become the places of ones."""
+    listed = bounded_values(vocabulary.orderBy("label_idx"), "label", limit)
+    if listed is not None:
+        # A null in the list hides no other label; a null list has null numbers.
+        has = lambda v: F.coalesce(F.array_contains(column, v), F.when(F.col(column).isNotNull(), False)).cast("int")
+        return df.withColumn("y", F.transform(literal_array(listed), has))
+    numbered = settle(df.withColumn("_row", F.monotonically_increasing_id()))
+    places = label_indices(numbered, vocabulary, column, "_row").groupBy("_row").agg(F.collect_set("label_idx").alias("_at"))
+    size = vocabulary.count()
+    held = F.map_from_arrays("_at", F.transform("_at", lambda _: F.lit(1)))
+    none = F.array_repeat(F.lit(0), size)
+    ones = bind(held, lambda at: F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.try_element_at(at, i), F.lit(0))))
+    y = F.when(F.col("_at").isNotNull(), ones).when(F.col(column).isNotNull(), none).otherwise(F.array_repeat(F.lit(None).cast("int"), size))
+    return numbered.join(places, "_row", "left").withColumn("y", y).select(*df.columns, "y")
 
 
 def label_indices(df: DataFrame, vocabulary: DataFrame, column: str = "label_list", key: str = "id") -> DataFrame:

@@ -12,7 +12,6 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 CTES: dict[str, str] = {}
-SPREAD = ("documents", "lineitem", "pages")  # tables with much work per row
 
 
 def query(name: str, sql: str | None = None):
@@ -44,11 +43,8 @@ def with_ctes(sql: str) -> str:
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A given table. One whose scan has fewer tasks than there are cores, though it is not tiny,
-    is spread over the cores; a table of many files is read as it is, without a shuffle."""
-    df = spark.read.parquet(f"{folder}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if name in SPREAD and df.rdd.getNumPartitions() < cores else df
+    """A given table, read as it is; how it is cut is a matter of the session's scan settings."""
+    return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
 def r6(expression: str) -> str:
