@@ -255,7 +255,8 @@ def near_duplicates(
     unique = known.groupBy("_fp").agg(F.min(key).alias("_least"))
     roots = settle(components(links(unique, radius, blocks, shard).unionByName(repeats)))
     rooted = unique.join(roots.withColumnRenamed("node", "_fp"), "_fp", "left").withColumn("root", F.coalesce("root", "_fp"))
-    least = rooted.groupBy("root").agg(F.min("_least").alias("component_id"))
+    # Written first: the join then deals both sides itself and can split a hot component.
+    least = settle(rooted.groupBy("root").agg(F.min("_least").alias("component_id")))
     named = rooted.join(least, "root").select("_fp", "component_id")
     out = prints.join(named, "_fp", "left")
     return out.select(
@@ -326,7 +327,8 @@ def keep_representatives(
     roots = settle(components(found.unionByName(repeats.select("a", "b").filter("a <> b"))))
     rooted = unique.select("_node", "_least").join(roots.withColumnRenamed("node", "_node"), "_node", "left")
     rooted = rooted.withColumn("root", F.coalesce("root", "_node"))
-    least = rooted.groupBy("root").agg(F.min("_least").alias("_kept"))
+    # Written first: the join then deals both sides itself and can split a hot component.
+    least = settle(rooted.groupBy("root").agg(F.min("_least").alias("_kept")))
     named = settle(rooted.join(least, "root").select("_node", "_kept"))
     # Only ids that go are sent to the texts.
     gone = settle(prints.select(key, node.alias("_node")).join(named, "_node").filter(F.col(key) != F.col("_kept")).select(key).distinct())
