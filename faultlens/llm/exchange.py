@@ -15,8 +15,8 @@ from pyspark.sql import SparkSession
 SPREAD = 4
 
 
-def ranges(spark: SparkSession) -> int:
-    return SPREAD * int(spark.conf.get("spark.sql.shuffle.partitions"))
+def ranges(spark: SparkSession, spread: int = SPREAD) -> int:
+    return spread * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def cuts(keys: np.ndarray, parts: int) -> np.ndarray:

@@ -139,11 +139,12 @@ class Block:
     words: np.ndarray
     tokens: np.ndarray
     parts: int
+    word_parts: int
 
     @staticmethod
-    def open(held: bytes, sizes: bytes, words: bytes, tokens: bytes, parts: int) -> Block:
+    def open(held: bytes, sizes: bytes, words: bytes, tokens: bytes, parts: int, word_parts: int) -> Block:
         one = lambda data, kind: unbundle(data, kind)[0]
-        return Block(one(held, np.uint8) > 0, one(sizes, np.uint32).astype(np.int64), np.cumsum(one(words, np.uint64), dtype=np.uint64), one(tokens, np.uint32).astype(np.int64), parts)
+        return Block(one(held, np.uint8) > 0, one(sizes, np.uint32).astype(np.int64), np.cumsum(one(words, np.uint64), dtype=np.uint64), one(tokens, np.uint32).astype(np.int64), parts, word_parts)
 
     def __post_init__(self) -> None:
         self.train = np.repeat(~self.held, self.sizes)
@@ -152,7 +153,7 @@ class Block:
         before = np.roll(self.tokens, 1)
         before[np.cumsum(self.sizes) - self.sizes] = end
         short = self.words >> _48
-        self.word_part = part_of(short, self.parts)
+        self.word_part = part_of(short, self.word_parts)
         # Pairs by range, then context, then word. A context's pairs lie in up to 8 ranges.
         pair = before * len(self.words) + self.tokens
         unique, inverse = np.unique(pair, return_inverse=True)
@@ -248,14 +249,15 @@ def score_texts(docs: DataFrame, held_out: Column, settings: Settings = Settings
     """key, held_out, n_tokens, n_known, train_tokens, base_score, score of every text; learned
     from the texts that are not held out."""
     s, spark = settings, docs.sparkSession
-    parts = ranges(spark)
+    # Pair and word ranges write to each other in every sweep, so their product is kept small.
+    parts, word_parts = ranges(spark, 2), max(1, ranges(spark, 1) // 2)
     blocks = settle(_blocks(docs, key, text, held_out))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 block = batch.column("block")[i].as_py()
-                b = Block.open(*(batch.column(c)[i].as_py() for c in ("held", "sizes", "words", "tokens")), parts)
+                b = Block.open(*(batch.column(c)[i].as_py() for c in ("held", "sizes", "words", "tokens")), parts, word_parts)
                 rows = [(0, p, block, bundle(_steps(b.words[at]), b.word_counts[at])) for p, at in _runs(b.word_part)]
                 us, ws = b.short[b.u], b.short[b.w]
                 rows += [(1, p, block, bundle(_steps(us[at]), ws[at], b.pair_counts[at])) for p, at in _runs(b.part)]
@@ -288,7 +290,7 @@ def score_texts(docs: DataFrame, held_out: Column, settings: Settings = Settings
             u, w, c, t, _ = _restaurants(own)
             by_u = np.bincount(u, c - t, len(named)).astype(np.uint32)
             by_w = np.bincount(w, c - t, len(named)).astype(np.uint32)
-            rows = [(p, names[0].as_py(), bundle(_steps(named[at]), by_u[at], by_w[at])) for p, at in _runs(part_of(named, parts))]
+            rows = [(p, names[0].as_py(), bundle(_steps(named[at]), by_u[at], by_w[at])) for p, at in _runs(part_of(named, word_parts))]
             kinds = (pa.int32(), pa.int32(), pa.binary())
             return pa.table([pa.array(x, k) for x, k in zip(zip(*rows) if rows else [[]] * 3, kinds)], names=["part", "origin", "payload"])
 
@@ -380,7 +382,7 @@ def score_texts(docs: DataFrame, held_out: Column, settings: Settings = Settings
     totals = [t[1:] for t in samples]
 
     def score(own: pa.Table, told: pa.Table) -> pa.Table:
-        b = Block.open(*(own.column(c)[0].as_py() for c in ("held", "sizes", "words", "tokens")), parts)
+        b = Block.open(*(own.column(c)[0].as_py() for c in ("held", "sizes", "words", "tokens")), parts, word_parts)
         answers = {(k, p): x for k, p, x in zip(*(told.column(c).to_pylist() for c in ("kind", "part", "payload")))}
         # Words that the ranges say nothing of stand once, here, or nowhere.
         once = (b.word_counts > 0).astype(float)
