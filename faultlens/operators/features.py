@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from faultlens.functions import text as T
-from faultlens.operators.sizing import lookup_join, settle, with_position
+from faultlens.operators.sizing import has_at_most, lookup_join, settle, with_position
 
 DRIVER_TERMS = 500_000  # terms of a vocabulary that may be held by the driver and each executor
 
@@ -48,7 +48,8 @@ def vocabulary(stats: DataFrame, min_df: int = 1, max_features: int | None = Non
 
 def indexed_vocabulary(vocab: DataFrame) -> DataFrame:
     """Vocabulary with its column number, in term order."""
-    return with_position(vocab, "term", "term_idx")
+    # Written first: the range partitioning samples its input, which would count all terms again.
+    return with_position(settle(vocab), "term", "term_idx")
 
 
 def idf(vocab: DataFrame, n_rows: int) -> DataFrame:
@@ -56,21 +57,41 @@ def idf(vocab: DataFrame, n_rows: int) -> DataFrame:
     return vocab.withColumn("idf", weight)
 
 
-def tfidf(df: DataFrame, weights: DataFrame, key: str = "id", terms: str = "terms") -> DataFrame:
-    """Long (id, term, weight), each row scaled to length one. Works for any vocabulary size.
+def tfidf(df: DataFrame, weights: DataFrame, key: str = "id", terms: str = "terms", limit: int = DRIVER_TERMS) -> DataFrame:
+    """Long (id, term, weight), each row scaled to length one; rows that share an id stay apart.
 
-    ``weights`` is (term, idf). Counts are taken inside the row, so a frequent word travels once
-    per row. Rows without a known term have no entries.
+    ``weights`` is (term, idf). A vocabulary of up to ``limit`` terms is sent, and no row moves; with a larger
+    one the counts of each row are joined. Rows without a known term have no entries.
     """
-    counts = term_rows(df, [key], terms).withColumnRenamed("n", "tf")
+    if has_at_most(weights, limit):
+        vectors, names = tfidf_vectors(df, weights, terms, limit)
+        cells = vectors.select(key, F.inline(F.arrays_zip("features.indices", "features.values")).alias("_at", "weight"))
+        if not names:
+            return cells.select(key, F.lit("").alias("term"), "weight")
+        shared = df.sparkSession.sparkContext.broadcast(pa.array(names, pa.string()))
+
+        @F.arrow_udf("string")
+        def name(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            for at in batches:
+                yield pc.take(shared.value, at)
+
+        return cells.select(key, name("_at").alias("term"), "weight")
+    return _long_tfidf(df, weights, terms).select(key, F.inline("entries"))
+
+
+def _long_tfidf(df: DataFrame, weights: DataFrame, terms: str) -> DataFrame:
+    """Rows with ``entries``, array<struct<term, weight>>, by joins: any vocabulary size."""
+    # Rows get a number of their own, as ids may repeat; written, so that it stays.
+    numbered = settle(df.withColumn("_row", F.monotonically_increasing_id()))
+    counts = term_rows(numbered, ["_row"], terms).withColumnRenamed("n", "tf")
     known = lookup_join(counts, weights.select("term", "idf"), "term")
-    raw = known.select(key, F.struct("term", (F.col("tf") * F.col("idf")).alias("weight")).alias("e"))
+    raw = known.select("_row", F.struct("term", (F.col("tf") * F.col("idf")).alias("weight")).alias("e"))
     # One row's own terms are gathered here, never more than the row's text held.
-    rows = raw.groupBy(key).agg(
-        F.collect_list("e").alias("entries"), F.sqrt(F.sum(F.col("e.weight") * F.col("e.weight"))).alias("norm")
+    rows = raw.groupBy("_row").agg(
+        F.array_sort(F.collect_list("e")).alias("_raw"), F.sqrt(F.sum(F.col("e.weight") * F.col("e.weight"))).alias("_norm")
     )
-    flat = rows.select(key, "norm", F.explode("entries").alias("e"))
-    return flat.select(key, "e.term", (F.col("e.weight") / F.col("norm")).alias("weight"))
+    scaled = F.transform("_raw", lambda e: F.struct(e["term"].alias("term"), (e["weight"] / F.col("_norm")).alias("weight")))
+    return numbered.join(rows, "_row", "left").withColumn("entries", scaled).drop("_row", "_raw", "_norm")
 
 
 def tfidf_vectors(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -103,13 +103,19 @@ def lemmatize(
 
 def preprocess_text(
     df: DataFrame,
-    lemmas: DataFrame | None,
+    lemmas: DataFrame | Callable[[DataFrame], DataFrame] | None,
     text: str = "text_input",
     stop_words=ENGLISH_STOP_WORDS,
     **limits,
 ) -> DataFrame:
-    """Template, camel case, cleaning, stop words, lemmas; result in ``processed_text``."""
+    """Template, camel case, cleaning, stop words, lemmas; result in ``processed_text``.
+
+    ``lemmas`` may be a function that makes the table from the token lists, which are then
+    written, so that texts are cleaned once."""
     tokenised = df.withColumn("tokens", T.content_tokens(F.col(text), stop_words))
+    if callable(lemmas):
+        tokenised = settle(tokenised)
+        lemmas = lemmas(tokenised)
     if lemmas is not None:
         tokenised = lemmatize(tokenised, lemmas, **limits)
     return tokenised.withColumn("processed_text", F.array_join("tokens", " ")).drop("tokens")

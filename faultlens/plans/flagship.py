@@ -10,31 +10,34 @@ from pyspark.sql import functions as F
 from faultlens.functions.losses import dot
 from faultlens.operators import evaluate as G
 from faultlens.operators import features as X
-from faultlens.operators.sizing import IN_ROW_LIMIT
 from faultlens.plans import stand_ins as S
 
 
-def centroid_scores(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Adds ``scores``: dot product with the mean vector of each label, in label order.
+def fit_centroids(df: DataFrame, features: str = "embedding") -> DataFrame:
+    """(label, c): the mean vector of each label. One vector summary per label."""
+    vector = array_to_vector(F.col(features).cast("array<double>"))
+    return df.groupBy("label").agg(vector_to_array(Summarizer.mean(vector)).alias("c"))
 
-    The means are one vector summary per label; they are model parameters (labels x dimensions).
+
+def centroid_scores(df: DataFrame, centroids: DataFrame, digits: int = 6, features: str = "embedding") -> DataFrame:
+    """Adds ``scores``: dot product with each centroid, in label order.
+
+    The centroids are model parameters (labels x dimensions) and travel as one row, joined by a constant.
     """
-    vector = array_to_vector(F.col("embedding").cast("array<double>"))
-    means = df.groupBy("label").agg(vector_to_array(Summarizer.mean(vector)).alias("c"))
-    rows = means.orderBy("label").limit(IN_ROW_LIMIT + 1).collect()
-    if len(rows) > IN_ROW_LIMIT:
-        raise ValueError("too many labels for in-row scores")
-    table = F.array(*[F.lit(list(r["c"])) for r in rows])
-    own = F.col("embedding").cast("array<double>")
-    return df.withColumn("scores", F.transform(table, lambda c: F.round(dot(own, c), digits)))
+    table = centroids.agg(F.array_sort(F.collect_list(F.struct("label", "c"))).alias("_table")).withColumn("_one", F.lit(1))
+    own = F.col(features).cast("array<double>")
+    scores = F.transform("_table", lambda m: F.round(dot(own, m["c"]), digits))
+    joined = df.withColumn("_one", F.lit(1)).join(F.broadcast(table), "_one")
+    return joined.withColumn("scores", scores).drop("_table", "_one")
 
 
 def model_scores(spark: SparkSession, folder: str) -> DataFrame:
-    """(model, id, scores, y, truth) of both models."""
+    """(model, id, scores, y, truth) of both models, measured on the rows that they were made from:
+    input for the metrics, not an estimate of quality."""
     raw = S.embeddings(spark, folder)
     scaled = X.apply_scaler(raw, X.fit_scaler(raw))
     parts = [
-        centroid_scores(rows).select(F.lit(name).alias("model"), "id", "scores", "y", "truth")
+        centroid_scores(rows, fit_centroids(rows)).select(F.lit(name).alias("model"), "id", "scores", "y", "truth")
         for name, rows in (("raw", raw), ("scaled", scaled))
     ]
     return parts[0].unionByName(parts[1])

@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from faultlens.operators import augment as E
+from faultlens.operators import features as X
+from faultlens.operators import split as D
 from faultlens.operators.sizing import settle
 from faultlens.plans import stand_ins as S
-from faultlens.plans.registry import cte, query
+from faultlens.plans.queries_features import TOKENS_SQL
+from faultlens.plans.registry import cte, query, r6
 
 PAIRS = ["word || '_form'", "'other ' || word", "upper(word)"]
 DRAW = "('0x' || substr(md5({}), 1, 15))::BIGINT"
@@ -15,7 +18,7 @@ DRAW = "('0x' || substr(md5({}), 1, 15))::BIGINT"
 cte("prepared_words", "SELECT DISTINCT unnest(string_split(processed_text, ' ')) AS word FROM prepared")
 cte(
     "synonym_pairs",
-    " UNION ALL ".join(f"SELECT word, {p} AS synonym FROM prepared_words WHERE length(word) >= 4" for p in PAIRS),
+    " UNION ALL ".join(f"SELECT word, {p} AS synonym FROM prepared_words WHERE word <> ''" for p in PAIRS),
 )
 cte(
     "clean_synonyms",
@@ -29,6 +32,12 @@ cte(
 )
 
 
+cte("train_docs", "SELECT prepared.* FROM prepared JOIN split_rows USING (id) WHERE split = 'train'")
+cte("train_pairs", "SELECT id, unnest(label_list) AS label FROM train_docs")
+cte("rare_train_labels", "SELECT label FROM train_pairs GROUP BY label HAVING count(*) < 25")
+cte("rare_train_docs", "SELECT * FROM train_docs WHERE id IN (SELECT id FROM train_pairs WHERE label IN (SELECT label FROM rare_train_labels))")
+
+
 def copies_sql(source: str, factor: int) -> str:
     return f"SELECT *, unnest(range(1, {factor + 1}))::INTEGER AS replica FROM {source}"
 
@@ -75,7 +84,7 @@ def prepared(spark, folder):
 
 
 def synonym_table(docs):
-    words = docs.select(F.explode(F.split("processed_text", " ")).alias("word")).distinct().filter(F.length("word") >= 4)
+    words = docs.select(F.explode(F.split("processed_text", " ")).alias("word")).distinct().filter("word <> ''")
     return words.select("word", F.explode(F.array(*[F.expr(p) for p in PAIRS])).alias("synonym"))
 
 
@@ -123,15 +132,72 @@ def augment_underrep(spark, folder):
     return shown(E.augment_underrepresented(docs, "sr", 2, 25, E.synonyms(synonym_table(docs))))
 
 
-@query(
-    "training_variants",
-    f"SELECT 'OG' AS variant, * FROM ({ORIGINAL}) UNION ALL "
-    + " UNION ALL ".join(
-        f"SELECT '{name}' AS variant, * FROM ({ORIGINAL} UNION ALL {text})"
-        for name, text in (("SR", FULL["sr"]), ("RS", FULL["rs"]), ("SR_underrep", RARE["sr"]), ("RS_underrep", RARE["rs"]))
-    ),
+TRAIN = "SELECT id, 0 AS replica, processed_text FROM train_docs"
+CHANGED = {
+    "SR": synonym_sql(copies_sql("train_docs", 1)),
+    "RS": swap_sql(copies_sql("train_docs", 1)),
+    "SR_underrep": synonym_sql(copies_sql("rare_train_docs", 2)),
+    "RS_underrep": swap_sql(copies_sql("rare_train_docs", 2)),
+}
+VARIANTS = (
+    f"SELECT 'OG' AS variant, * FROM ({TRAIN}) UNION ALL "
+    + " UNION ALL ".join(f"SELECT '{name}' AS variant, * FROM ({TRAIN} UNION ALL {text})" for name, text in CHANGED.items())
+)
+ROW_ID = "id || '|' || variant || '|' || replica"
+
+
+def variants(spark, folder):
+    """The five training sets of the training rows."""
+    parts = settle(D.stratified_split(prepared(spark, folder)))
+    train = parts.filter(F.col("split") == "train").drop("split")
+    # Synonyms come from the corpus, as a lexicon would; the rows come from the training split.
+    return E.training_variants(train, E.synonyms(synonym_table(parts)))
+
+
+cte("variant_rows", f"SELECT {ROW_ID} AS row_id, * FROM ({VARIANTS})")
+cte("variant_labels", "SELECT v.variant, v.row_id, label_list FROM variant_rows v JOIN train_docs USING (id)")
+cte(
+    "variant_vocabularies",
+    "SELECT variant, list(label ORDER BY label) AS names FROM"
+    " (SELECT DISTINCT variant, unnest(label_list) AS label FROM variant_labels) GROUP BY variant",
+)
+cte("variant_sizes", "SELECT variant, count(*) AS n FROM variant_rows GROUP BY variant")
+cte("variant_terms", f"SELECT variant, row_id, unnest({TOKENS_SQL}) AS term FROM variant_rows")
+cte("variant_frequency", "SELECT variant, term, count(DISTINCT row_id) AS d FROM variant_terms GROUP BY ALL")
+cte(
+    "variant_weights",
+    "SELECT row_id, term, count(*) * any_value(ln((1.0 + n)::DOUBLE / (1.0 + d)::DOUBLE) + 1.0) AS w FROM variant_terms"
+    " JOIN variant_frequency USING (variant, term) JOIN variant_sizes USING (variant) WHERE d >= 2 GROUP BY row_id, term",
 )
+
+
+@query("training_variants", "SELECT row_id, variant, id, replica, processed_text FROM variant_rows")
 def training_variants(spark, folder):
-    docs = prepared(spark, folder)
-    variants = E.training_variants(docs, E.synonyms(synonym_table(docs)))
-    return variants.select("variant", "id", "replica", "processed_text")
+    return variants(spark, folder).select("row_id", "variant", "id", "replica", "processed_text")
+
+
+@query(
+    "encode_variants",
+    "SELECT row_id, array_to_string(list_transform(names, lambda x: list_contains(label_list, x)::INTEGER), '') AS y"
+    " FROM variant_labels JOIN variant_vocabularies USING (variant)",
+)
+def encode_variants(spark, folder):
+    encoded = E.encode_variants(settle(variants(spark, folder)))
+    return encoded.select("row_id", F.array_join(F.transform("y", lambda v: v.cast("string")), "").alias("y"))
+
+
+@query(
+    "tfidf_variants",
+    f"SELECT row_id, count(*) AS n_terms, {r6('sum(w) / sqrt(sum(w * w))')} AS weight FROM variant_weights GROUP BY row_id",
+)
+def tfidf_variants(spark, folder):
+    """Each variant has its own vocabulary and weights; a copy is a row of its own."""
+    rows = settle(X.with_terms(variants(spark, folder)))
+    out = None
+    for name in E.VARIANTS:
+        own = rows.filter(F.col("variant") == name)
+        weights = settle(X.idf(X.vocabulary(X.term_stats(own), 2), own.count()))
+        cells = X.tfidf(own, weights, key="row_id")
+        out = cells if out is None else out.unionByName(cells)
+    sums = out.groupBy("row_id").agg(F.count("*").alias("n_terms"), F.sum("weight").alias("w"))
+    return sums.select("row_id", "n_terms", F.expr(r6("w")).alias("weight"))

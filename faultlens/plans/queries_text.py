@@ -44,7 +44,11 @@ def content_sql(text: str) -> str:
 
 
 cte("doc_tokens", f"SELECT id, {content_sql(COMBINED)} AS tokens FROM doc_texts")
-cte("prepared", "SELECT id, array_to_string(tokens, ' ') AS processed_text, label_list FROM doc_tokens JOIN doc_labels USING (id)")
+cte(
+    "prepared",
+    "SELECT d.id, coalesce(l.processed_text, '') AS processed_text, label_list FROM doc_tokens d"
+    " LEFT JOIN lemma_docs l ON d.id = l.id JOIN doc_labels ON d.id = doc_labels.id",
+)
 cte("words", "SELECT DISTINCT unnest(tokens) AS word FROM doc_tokens")
 cte(
     "lemma_tries",
@@ -69,23 +73,9 @@ cte(
 )
 
 
-def combined(spark, folder):
-    texts = S.documents(spark, folder)
-    return texts.select("id", T.combine_text(F.col("title"), F.col("description")).alias("text_input"))
-
-
-def doc_tokens(spark, folder):
-    return combined(spark, folder).select("id", T.content_tokens(F.col("text_input")).alias("tokens"))
-
-
-def corpus_lemmas(tokens):
-    words = settle(C.distinct_words(tokens))
-    return settle(C.noun_lemma_table(words, words))
-
-
 def text_query(name, column, sql, run):
     query(name, f"SELECT id, {sql} AS {column} FROM doc_texts")(
-        lambda spark, folder: combined(spark, folder).select("id", run(F.col("text_input")).alias(column))
+        lambda spark, folder: S.combined(spark, folder).select("id", run(F.col("text_input")).alias(column))
     )
 
 
@@ -114,7 +104,7 @@ text_query(
 
 @query("noun_lemmas", "SELECT form, lemma FROM noun_lemmas")
 def noun_lemmas(spark, folder):
-    return corpus_lemmas(doc_tokens(spark, folder))
+    return corpus_lemmas(S.doc_tokens(spark, folder))
 
 
 @query(
@@ -122,8 +112,8 @@ def noun_lemmas(spark, folder):
     "SELECT d.id, coalesce(processed_text, '') AS tokens FROM doc_tokens d LEFT JOIN lemma_docs l ON d.id = l.id",
 )
 def lemmatize(spark, folder):
-    tokens = settle(doc_tokens(spark, folder))
-    done = C.lemmatize(tokens, corpus_lemmas(tokens))
+    tokens = settle(S.doc_tokens(spark, folder))
+    done = C.lemmatize(tokens, S.corpus_lemmas(tokens))
     return done.select("id", F.array_join("tokens", " ").alias("tokens"))
 
 
@@ -132,5 +122,4 @@ def lemmatize(spark, folder):
     "SELECT d.id, coalesce(processed_text, '') AS processed_text FROM doc_tokens d LEFT JOIN lemma_docs l ON d.id = l.id",
 )
 def preprocess_text(spark, folder):
-    lemmas = corpus_lemmas(doc_tokens(spark, folder))
-    return C.preprocess_text(combined(spark, folder), lemmas).select("id", "processed_text")
+    return S.cleaned_documents(spark, folder)

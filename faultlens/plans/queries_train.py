@@ -14,7 +14,7 @@ from faultlens.operators import split as D
 from faultlens.operators import trees as M
 from faultlens.operators.sizing import settle
 from faultlens.plans import stand_ins as S
-from faultlens.plans.flagship import centroid_scores, model_scores
+from faultlens.plans.flagship import centroid_scores, fit_centroids, model_scores
 from faultlens.plans.queries_evaluate import MAP, rounded
 from faultlens.plans.registry import cte, query, r6
 
@@ -124,9 +124,12 @@ def select_best(spark, folder):
 @query("train_and_compare")
 def train_and_compare(spark, folder):
     """Fit on the training rows, rank the test rows, compare; one model fails on purpose."""
-    rows = features(spark, folder).withColumn("label_list", F.transform("truth", lambda t: t.cast("string")))
+    rows = S.embeddings(spark, folder).withColumn("label_list", F.transform("truth", lambda t: t.cast("string")))
     parts = settle(D.stratified_split(rows))
-    train, test = parts.filter(F.col("split") == "train"), parts.filter(F.col("split") == "test")
+    # Scaler, models and centroids know the training rows only.
+    scaler = X.fit_scaler(parts.filter(F.col("split") == "train"))
+    scaled = settle(X.apply_scaler(parts, scaler).withColumnRenamed("embedding", "features"))
+    train, test = scaled.filter(F.col("split") == "train"), scaled.filter(F.col("split") == "test")
 
     def linear(loss):
         return lambda: L.score_models(test, L.fit_ovr_linear(train, N_LABELS, N_DIMS, loss, steps=15, C=0.1))
@@ -134,7 +137,7 @@ def train_and_compare(spark, folder):
     makers = {
         "LR": linear("logistic"),
         "SVM": linear("squared_hinge"),
-        "centroid": lambda: centroid_scores(test.withColumnRenamed("features", "embedding")),
+        "centroid": lambda: centroid_scores(test, fit_centroids(train, "features"), features="features"),
         "broken": linear("unknown loss"),
     }
     registry = spark.createDataFrame(

@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultlens.functions import text as T
+from faultlens.operators import lemmas as C
+from faultlens.operators.sizing import lookup_join, settle
 from faultlens.plans.registry import cte, table
 
 WORK_ITEM = {
@@ -104,7 +106,7 @@ cte(
 
 def commit_changes(spark: SparkSession, folder: str) -> DataFrame:
     lines, part = table(spark, folder, "lineitem"), table(spark, folder, "part")
-    joined = lines.join(part, lines.l_partkey == part.p_partkey)
+    joined = lookup_join(lines.withColumnRenamed("l_partkey", "p_partkey"), part, "p_partkey").withColumn("l_partkey", F.col("p_partkey"))
     return joined.select(*[F.expr(text).alias(name) for name, text in CHANGE.items()])
 
 
@@ -179,14 +181,28 @@ cte(
 )
 
 
+def combined(spark: SparkSession, folder: str) -> DataFrame:
+    texts = documents(spark, folder)
+    return texts.select("id", T.combine_text(F.col("title"), F.col("description")).alias("text_input"))
+
+
+def doc_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    return combined(spark, folder).select("id", T.content_tokens(F.col("text_input")).alias("tokens"))
+
+
+def corpus_lemmas(tokens: DataFrame) -> DataFrame:
+    """Lemma table with the corpus' own words as the lexicon."""
+    words = settle(C.distinct_words(tokens))
+    return settle(C.noun_lemma_table(words, words))
+
+
 def cleaned_documents(spark: SparkSession, folder: str) -> DataFrame:
-    """(id, processed_text): cleaned text without stop words."""
-    tokens = T.content_tokens(T.combine_text(F.col("title"), F.col("description")))
-    return documents(spark, folder).select("id", F.array_join(tokens, " ").alias("processed_text"))
+    """(id, processed_text): cleaned text without stop words, words in their lemmas."""
+    return C.preprocess_text(combined(spark, folder), corpus_lemmas).select("id", "processed_text")
 
 
 def prepared_documents(spark: SparkSession, folder: str) -> DataFrame:
-    """(id, processed_text, label_list): the cleaned text and the labels."""
+    """(id, processed_text, label_list): the processed text and the labels."""
     return cleaned_documents(spark, folder).join(labelled_documents(spark, folder), "id")
 
 
