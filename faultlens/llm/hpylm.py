@@ -250,7 +250,7 @@ def score_texts(docs: DataFrame, held_out: Column, settings: Settings = Settings
     from the texts that are not held out."""
     s, spark = settings, docs.sparkSession
     # Pair and word ranges write to each other in every sweep, so their product is kept small.
-    parts, word_parts = ranges(spark, 2), max(1, ranges(spark, 1) // 2)
+    parts, word_parts = ranges(spark), max(1, 2 * ranges(spark, 1) // 5)
     blocks = settle(_blocks(docs, key, text, held_out))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -313,7 +313,8 @@ def score_texts(docs: DataFrame, held_out: Column, settings: Settings = Settings
             shares = draw_tables(customers, x, d0, rng)
             number = (customers - d0 * shares).astype(np.float32)
             rows = [(origin, part, bundle(tables[at], number[at]), 0, 0) for origin, at in asks]
-            rows.append((-1, part, bundle(tables, number), int(shared_w.sum()), int((shares - 1).sum())))
+            counts = (shared_u.astype(np.uint32), shared_w.astype(np.uint32), shares.astype(np.uint32))
+            rows.append((-1, part, bundle(*counts), int(shared_w.sum()), int((shares - 1).sum())))
             kinds = (pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64())
             return pa.table([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names=["part", "origin", "payload", "shared", "extra"])
 
@@ -359,9 +360,9 @@ def score_texts(docs: DataFrame, held_out: Column, settings: Settings = Settings
             part, held = names[0].as_py(), dict(zip(own.column("what").to_pylist(), own.column("payload").to_pylist()))
             if kind == 0:
                 _, c = unbundle(held[-1], np.uint64, np.int64)
-                each = [unbundle(held[k], np.float32, np.float32) for k in range(s.samples)]
-                columns = [c.astype(np.float64), *(x.astype(np.float32) for pair in each for x in pair)]
-                single = [1.0, *[1.0, 1.0 - d0] * s.samples]
+                columns, single = [c.astype(np.uint32)], [1, *[0, 0, 1] * s.samples]
+                for k in range(s.samples):
+                    columns += unbundle(held[k], np.uint32, np.uint32, np.uint32)
             else:
                 _, _, c, _, total = _restaurants(own)
                 columns, single = [(c - d * total / s.samples).astype(np.float32)], [1.0 - d]
@@ -387,12 +388,16 @@ def score_texts(docs: DataFrame, held_out: Column, settings: Settings = Settings
         # Words that the ranges say nothing of stand once, here, or nowhere.
         once = (b.word_counts > 0).astype(float)
         c, tables, number = once.copy(), np.repeat(once[None], s.samples, 0), np.repeat(once[None] * (1 - d0), s.samples, 0)
+        whole = lambda x: x.astype(np.int64)
         for p, at in _runs(b.word_part):
             if (0, p) in answers:
-                steps, *columns = unbundle(answers[0, p], np.uint32, np.float64, *[np.float32] * (2 * s.samples))
-                place = at.start + np.cumsum(steps.astype(np.int64))
-                c[place] = columns[0]
-                tables[:, place], number[:, place] = columns[1::2], columns[2::2]
+                steps, count, *columns = unbundle(answers[0, p], *[np.uint32] * (2 + 3 * s.samples))
+                place, count = at.start + np.cumsum(whole(steps)), whole(count)
+                c[place] = count
+                for k in range(s.samples):
+                    shared_u, shared_w, shares = map(whole, columns[3 * k : 3 * k + 3])
+                    tables[k, place] = count - shared_u
+                    number[k, place] = np.maximum(count - shared_w, 1) - d0 * shares
         left = np.where(b.pair_counts > 0, 1.0 - d, 0.0)
         for p, at in _runs(b.part):
             if (1, p) in answers:
