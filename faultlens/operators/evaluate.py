@@ -225,5 +225,9 @@ def pivot_metrics(long: DataFrame, metrics=SUMMARY_COLUMNS) -> DataFrame:
     return long.groupBy("model").pivot("metric", list(metrics)).agg(F.first("value"))
 
 
-def predicted_labels(df: DataFrame, cut: float = 0.5) -> DataFrame:
-    return df.withColumn("predicted", cut_scores(F.col("scores"), cut))
+CUTS = {"probability": 0.5, "margin": 0.0}
+
+
+def predicted_labels(df: DataFrame, cut: float | None = None, kind: str = "probability") -> DataFrame:
+    """Multi-hot predictions. Probabilities are cut at 0.5 and margins at 0, if nothing else is said."""
+    return df.withColumn("predicted", cut_scores(F.col("scores"), CUTS[kind] if cut is None else cut))

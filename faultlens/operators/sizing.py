@@ -52,6 +52,15 @@ def may_be_sent(df: DataFrame, rows: int | None = None, size: int = SENT_BYTES)
     return n <= (rows or BROADCAST_ROWS) and (width or 0) <= size
 
 
+def release(spark: SparkSession) -> None:
+    """Remove the tables that this application has written with :func:`settle`. For a caller who has
+    finished with all results that were made from them."""
+    path = f"{shared_folder(spark).rstrip('/')}/faultlens-{spark.sparkContext.applicationId}"
+    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(conf).delete(target, True)
+
+
 def has_at_most(df: DataFrame, rows: int) -> bool:
     """Size check that never reads past the limit."""
     return df.limit(rows + 1).count() <= rows

@@ -5,12 +5,13 @@ from __future__ import annotations
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.ml.classification import LinearSVC, LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultlens.operators.linear import fold_counts
+from faultlens.operators.linear import LinearModels, Task, fold_counts
 
 MAX_DEPTH = 30  # deepest tree the library grows
 
@@ -60,6 +61,7 @@ def fit_ovr_logistic(
             elasticNetParam=1.0 if penalty == "l1" else 0.0,
             standardization=False,
             maxIter=steps,
+            tol=1e-9,
         )
 
     return _fit_each(df, make, balanced, "logistic", at_once)
@@ -97,6 +99,26 @@ def fit_ovr_forest(
     return _fit_each(df, make, balanced, "forest", at_once)
 
 
+def as_linear(fitted: LabelModels, C: float, penalty: str, balanced: bool) -> LinearModels:
+    """Library models of a linear kind as one set of parameters."""
+    tasks = [Task(0, i, None, C, penalty, balanced) for i in range(len(fitted.models))]
+    held = [m for m in fitted.models if not isinstance(m, float)]
+    width = len(held[0].coefficients) if held else 0
+    coef = np.array([np.zeros(width) if isinstance(m, float) else m.coefficients.toArray() for m in fitted.models])
+    intercept = np.array([m if isinstance(m, float) else m.intercept for m in fitted.models])
+    constant = np.array([m if isinstance(m, float) else np.nan for m in fitted.models])
+    return LinearModels(tasks, coef.reshape(len(tasks), width), intercept, constant, "logistic")
+
+
+def forest_summary(spark: SparkSession, fitted: LabelModels) -> DataFrame:
+    """label_idx, trees and the deepest tree's depth of each label's forest; null for a constant."""
+    rows = [
+        (i, None, None) if isinstance(m, float) else (i, m.getNumTrees, max(t.depth for t in m.trees))
+        for i, m in enumerate(fitted.models)
+    ]
+    return spark.createDataFrame(rows, "label_idx int, trees int, depth int")
+
+
 def score(df: DataFrame, fitted: LabelModels, out: str = "scores") -> DataFrame:
     """Per label: the probability if the model gives one, else the margin, else the prediction."""
     data = as_vector(df).withColumnRenamed("features", "_x")

@@ -45,29 +45,45 @@ def class_weights(spark, folder):
     return rounded(L.class_weights(S.embeddings(spark, folder)))
 
 
-@query("ovr_logistic")
+FIT_SQL = (
+    "SELECT 0 AS candidate, -1 AS fold, label_idx::INTEGER AS label_idx, n AS n_rows, pos::BIGINT AS positives,"
+    " n::DOUBLE AS weight_sum, true AS optimal FROM label_totals"
+)
+
+
+@query("ovr_logistic", FIT_SQL)
 def ovr_logistic(spark, folder):
+    """A convex fit has one optimum, so its input and its optimality say that it is right."""
     rows = features(spark, folder)
-    return measured("logistic", M.score(rows, M.fit_ovr_logistic(rows, C=0.1, steps=20)))
+    fitted = M.as_linear(M.fit_ovr_logistic(rows, C=0.1, steps=200), 0.1, "l2", True)
+    return rounded(L.fit_summary(rows, fitted, free_intercept=True))
 
 
 @query("ovr_linear_svm")
 def ovr_linear_svm(spark, folder):
     rows = features(spark, folder)
-    return measured("svm", M.score(rows, M.fit_ovr_linear_svm(rows, C=0.1, steps=10)))
+    return measured("svm", M.score(rows, M.fit_ovr_linear_svm(rows, C=0.1, steps=100)))
 
 
-@query("ovr_forest")
+@query(
+    "ovr_forest",
+    "SELECT label_idx::INTEGER AS label_idx, 20 AS trees, true AS within_depth, n AS n_rows, pos::BIGINT AS positives FROM label_totals",
+)
 def ovr_forest(spark, folder):
     rows = features(spark, folder)
-    return measured("forest", M.score(rows, M.fit_ovr_forest(rows, trees=5, depth=6, leaf=5)))
+    fitted = M.fit_ovr_forest(rows, trees=20, depth=10, leaf=5)
+    counts = L.class_weights(rows).groupBy("label_idx").agg(
+        F.sum("n_rows").alias("n_rows"), F.sum(F.when(F.col("class") == 1, F.col("n_rows"))).alias("positives")
+    )
+    grown = M.forest_summary(spark, fitted).withColumn("within_depth", F.col("depth").between(1, 10)).drop("depth")
+    return grown.join(counts, "label_idx")
 
 
-@query("ovr_linear")
+@query("ovr_linear", FIT_SQL)
 def ovr_linear(spark, folder):
     rows = features(spark, folder)
-    models = L.fit_ovr_linear(rows, N_LABELS, N_DIMS, "logistic", steps=20, C=0.1)
-    return measured("joint logistic", L.score_models(rows, models))
+    models = L.fit_ovr_linear(rows, N_LABELS, N_DIMS, "logistic", steps=400, C=0.1)
+    return rounded(L.fit_summary(rows, models))
 
 
 @query(
@@ -90,9 +106,9 @@ def folded(rows, folds: int = 3):
 
 @query("cross_validate")
 def cross_validate(spark, folder):
-    """Four candidates, three folds and ten labels: 120 models in each pass."""
-    candidates = H.expand_grid({"C": [0.1, 1.0], "penalty": ["l1", "l2"]})
-    return H.cross_validate_linear(folded(features(spark, folder)), candidates, N_LABELS, N_DIMS, steps=12)
+    """The whole embedding grid, three folds and ten labels: 240 models in each pass."""
+    candidates = H.expand_grid(H.GRIDS["LR_SBERT"])
+    return H.cross_validate_linear(folded(features(spark, folder)), candidates, N_LABELS, N_DIMS, steps=100)
 
 
 @query("cross_validate_text")
