@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import functions as F
@@ -12,11 +14,13 @@ from faultlens.operators import linear as L
 from faultlens.operators import search as H
 from faultlens.operators import split as D
 from faultlens.operators import trees as M
-from faultlens.operators.sizing import settle
+from faultlens.operators.sizing import settle, shared_folder
 from faultlens.plans import stand_ins as S
 from faultlens.plans.flagship import centroid_scores, fit_centroids, model_scores
 from faultlens.plans.queries_evaluate import MAP, rounded
+from faultlens.plans.queries_features import TOKENS_SQL
 from faultlens.plans.registry import cte, query, r6
+from faultlens.sources.models import load_text_weights
 
 N_LABELS, N_DIMS = 10, 64
 
@@ -160,3 +164,32 @@ def train_and_compare(spark, folder):
         [(name, "linear", "SBERT", "OG") for name in makers], "model_key string, family string, feature_type string, variant string"
     )
     return rounded(G.compare_models(makers, registry))
+
+
+cte("train_terms", f"SELECT id, unnest({TOKENS_SQL}) AS term FROM train_docs")
+
+
+@query(
+    "search_refit",
+    "SELECT (SELECT count(*) FROM train_docs) AS n_train, least(1000, (SELECT count(*) FROM (SELECT term FROM train_terms"
+    " GROUP BY term HAVING count(DISTINCT id) >= 2))) AS n_terms,"
+    " (SELECT count(*) FROM prepared JOIN split_rows USING (id) WHERE split = 'val') AS n_scored, true AS same_scores",
+)
+def search_refit(spark, folder):
+    """Search on the training rows, refit the best candidate, store it, load it, score the validation
+    rows with it; the loaded model has to give the scores of the fitted one."""
+    parts = settle(D.encode_splits(D.stratified_split(S.prepared_documents(spark, folder))))
+    train, val = parts.filter(F.col("split") == "train"), parts.filter(F.col("split") == "val")
+    n_labels = len(parts.select("y").first()["y"])
+    grid = {"max_features": [1000], "ngram_max": [1], "min_df": [2], "C": [0.1, 1.0], "penalty": ["l2"]}
+    candidates = H.expand_grid(grid)
+    best = H.select_best(H.cross_validate_text(folded(train), candidates, n_labels, steps=25)).first()["candidate"]
+    path = f"{shared_folder(spark).rstrip('/')}/faultlens-{spark.sparkContext.applicationId}/model-{uuid.uuid4().hex}"
+    fitted = H.refit_text(train, candidates[best], n_labels, path, steps=60)
+    loaded = H.score_stored_text(val.select("id", "processed_text"), path)
+    weights, how = load_text_weights(spark, f"{path}/text")
+    vectors, _ = X.tfidf_vectors(X.with_terms(val.select("id", "processed_text")), weights)
+    direct = L.score_models(vectors, fitted).select("id", F.col("scores").alias("_direct"))
+    off = F.exists(F.zip_with("scores", "_direct", lambda a, b: F.abs(a - b) > 1e-9), lambda x: x)
+    both = loaded.join(direct, "id").agg(F.count("*").alias("n_scored"), (F.count_if(off) == 0).alias("same_scores"))
+    return both.select(F.lit(how["n_rows"]).cast("long").alias("n_train"), F.lit(weights.count()).alias("n_terms"), "n_scored", "same_scores")
