@@ -148,6 +148,9 @@ def classification_report(df: DataFrame, by: list[str] | None = None, names: lis
     return out
 
 
+CUTS = {"probability": 0.5, "margin": 0.0}  # score from which a label is predicted, by kind of score
+
+
 def _unusable() -> Column:
     """Rows whose scores are missing or do not have one value per label."""
     return (
@@ -157,6 +160,21 @@ def _unusable() -> Column:
     )
 
 
+def report_models(scored: DataFrame, names: list[str] | None = None) -> DataFrame:
+    """The report of every model in ``scored`` (model, kind, scores, y) in one pass.
+
+    Scores are read as floats, as they were stored, and cut by their kind: probabilities at 0.5,
+    margins at 0. A model with scores that do not fit its labels becomes one error row."""
+    marked = scored.withColumn("_bad", F.coalesce(_unusable(), F.lit(True)))
+    bad = settle(marked.groupBy("model").agg(F.count_if("_bad").alias("_bad")).filter(F.col("_bad") > 0))  # one row a model
+    fine = marked.join(F.broadcast(bad.select("model")), "model", "left_anti").withColumn("scores", F.col("scores").cast("array<float>"))
+    cut = F.coalesce(*[F.when(F.col("kind") == kind, F.lit(float(at))) for kind, at in CUTS.items()])
+    rows = fine.withColumn("predicted", F.transform("scores", lambda s: (s.cast("double") >= cut).cast("int")))
+    report = classification_report(rows, ["model"], names).withColumn("error", F.lit(None).cast("string"))
+    text = F.concat(F.lit("scores do not fit the labels in "), F.col("_bad").cast("string"), F.lit(" rows"))
+    return report.unionByName(bad.select("model", text.alias("error")), allowMissingColumns=True)
+
+
 def benchmark(scored: DataFrame, registry: DataFrame, ks=RANKING_KS) -> DataFrame:
     """Metrics of every registered model in one pass over ``scored`` (model, id, scores, y).
 
@@ -225,9 +243,6 @@ def pivot_metrics(long: DataFrame, metrics=SUMMARY_COLUMNS) -> DataFrame:
     return long.groupBy("model").pivot("metric", list(metrics)).agg(F.first("value"))
 
 
-CUTS = {"probability": 0.5, "margin": 0.0}
-
-
 def predicted_labels(df: DataFrame, cut: float | None = None, kind: str = "probability") -> DataFrame:
     """Multi-hot predictions. Probabilities are cut at 0.5 and margins at 0, if nothing else is said."""
     return df.withColumn("predicted", cut_scores(F.col("scores"), CUTS[kind] if cut is None else cut))

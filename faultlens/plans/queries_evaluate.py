@@ -123,19 +123,19 @@ def scores_sql(tp: str, pred: str, true: str) -> str:
     return ", ".join(f"{v} AS {n}" for v, n in zip(values, ("precision", "recall", "f1")))
 
 
-cte("label_counts", "SELECT model, label_idx, sum(y * p) AS tp, sum(p) AS pred, sum(y) AS true_n FROM predicted GROUP BY ALL")
-cte("label_scores", f"SELECT *, {scores_sql('tp', 'pred', 'true_n')} FROM label_counts")
-cte("sample_counts", "SELECT model, id, sum(y * p) AS tp, sum(p) AS pred, sum(y) AS true_n FROM predicted GROUP BY ALL")
-cte("sample_scores", f"SELECT *, {scores_sql('tp', 'pred', 'true_n')} FROM sample_counts")
-cte(
-    "report",
-    "SELECT model, label_idx::VARCHAR AS label, precision, recall, f1, true_n AS support FROM label_scores"
-    f" UNION ALL SELECT model, 'micro avg', {scores_sql('sum(tp)', 'sum(pred)', 'sum(true_n)')}, sum(true_n) FROM label_scores GROUP BY model"
-    " UNION ALL SELECT model, 'macro avg', avg(precision), avg(recall), avg(f1), sum(true_n) FROM label_scores GROUP BY model"
-    " UNION ALL SELECT model, 'weighted avg', sum(precision * true_n) / sum(true_n), sum(recall * true_n) / sum(true_n),"
-    " sum(f1 * true_n) / sum(true_n), sum(true_n) FROM label_scores GROUP BY model"
-    " UNION ALL SELECT model, 'samples avg', avg(precision), avg(recall), avg(f1), sum(true_n) FROM sample_scores GROUP BY model",
-)
+cte("zero_predicted", "SELECT *, (score >= 0)::INTEGER AS p FROM ranked_rows")
+for _name, _source in (("report", "predicted"), ("zero_report", "zero_predicted")):
+    _label = f"(SELECT *, {scores_sql('tp', 'pred', 'true_n')} FROM (SELECT model, label_idx, sum(y * p) AS tp, sum(p) AS pred, sum(y) AS true_n FROM {_source} GROUP BY ALL))"
+    _sample = f"(SELECT *, {scores_sql('tp', 'pred', 'true_n')} FROM (SELECT model, id, sum(y * p) AS tp, sum(p) AS pred, sum(y) AS true_n FROM {_source} GROUP BY ALL))"
+    cte(
+        _name,
+        f"SELECT model, label_idx::VARCHAR AS label, precision, recall, f1, true_n AS support FROM {_label}"
+        f" UNION ALL SELECT model, 'micro avg', {scores_sql('sum(tp)', 'sum(pred)', 'sum(true_n)')}, sum(true_n) FROM {_label} GROUP BY model"
+        f" UNION ALL SELECT model, 'macro avg', avg(precision), avg(recall), avg(f1), sum(true_n) FROM {_label} GROUP BY model"
+        " UNION ALL SELECT model, 'weighted avg', sum(precision * true_n) / sum(true_n), sum(recall * true_n) / sum(true_n),"
+        f" sum(f1 * true_n) / sum(true_n), sum(true_n) FROM {_label} GROUP BY model"
+        f" UNION ALL SELECT model, 'samples avg', avg(precision), avg(recall), avg(f1), sum(true_n) FROM {_sample} GROUP BY model",
+    )
 
 
 @query(
@@ -147,6 +147,22 @@ def classification_report(spark, folder):
     return rounded(G.classification_report(rows, ["model"]))
 
 
+@query(
+    "benchmark_report",
+    f"SELECT model, label, {r6('precision')} AS precision, {r6('recall')} AS recall, {r6('f1')} AS f1, support::BIGINT AS support,"
+    " CAST(NULL AS VARCHAR) AS error FROM zero_report UNION ALL SELECT 'short', NULL, NULL, NULL, NULL, NULL,"
+    " 'scores do not fit the labels in ' || (SELECT count(*) FROM vectors) || ' rows'",
+)
+def benchmark_report(spark, folder):
+    """One model gives margins, one probabilities, and one too few scores."""
+    scored = model_scores(spark, folder)
+    probability = F.transform("scores", lambda s: Z.sigmoid(s))
+    raw, scaled = scored.filter("model = 'raw'"), scored.filter("model = 'scaled'")
+    models = raw.withColumn("kind", F.lit("margin")).unionByName(scaled.withColumn("scores", probability).withColumn("kind", F.lit("probability")))
+    short = raw.withColumn("model", F.lit("short")).withColumn("scores", F.slice("scores", 1, 3)).withColumn("kind", F.lit("margin"))
+    return rounded(G.report_models(models.unionByName(short)))
+
+
 @query(
     "benchmark",
     f"SELECT model, 'centroid' AS family, 'SBERT' AS feature_type, 'OG' AS variant, {metrics_sql()}, CAST(NULL AS VARCHAR) AS error"
