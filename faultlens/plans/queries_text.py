@@ -104,7 +104,7 @@ text_query(
 
 @query("noun_lemmas", "SELECT form, lemma FROM noun_lemmas")
 def noun_lemmas(spark, folder):
-    return corpus_lemmas(S.doc_tokens(spark, folder))
+    return S.corpus_lemmas(S.doc_tokens(spark, folder))
 
 
 @query(
