@@ -19,10 +19,10 @@ SIMILARITY = 0.8  # share of equal fingerprint bits from which two texts are nea
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Language ID, learned from the labelled rows; rows it rejects (no letters, or a calibrated
-    confidence below the threshold) go. ``lang`` becomes the predicted language."""
+    confidence below the threshold) go. A missing ``lang`` becomes the predicted language."""
     model = langid.fit(docs, "text", "lang", F.col("doc_id"))
     found = langid.predict(docs, model).filter(~F.col("rejected"))
-    return found.withColumn("lang", F.col("lang_pred")).select(docs.columns)
+    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ prediction is rejected. Prediction reads whole texts; as the layers are linear,
 multiplied with the output layer once, and each different word of a block is looked up once.
 
 Cases: null text, empty text and text without a letter get ``und``, score 0 and are rejected. With no
-labelled text at all every row is ``und`` with score 0. Any length, repeated rows and clashing extra
+labelled text at all every row is ``und`` with score 0, and only those without a letter are rejected. Any length, repeated rows and clashing extra
 columns are fine; ties between labels go to the first label in ascending order.
 """
 
@@ -188,6 +188,8 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFra
             names[some] = np.array(model.labels, object)[best[some]]
             score[some] = sure.max(1)[some]
             rejected = ~some | (score < model.threshold)
+        if model is None:
+            rejected = sizes == 0
         extra = [pa.array(names, pa.string()), pa.array(score, pa.float64()), pa.array(rejected)]
         return pa.RecordBatch.from_arrays([*piece.columns, *extra], [*columns, "_lang_pred", "_score", "_rejected"])
 

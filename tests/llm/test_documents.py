@@ -247,7 +247,8 @@ def test_languages(spark, odd, none):
         assert (r.lang_pred == "und" and r.rejected and r.score == 0) if blank else r.lang_pred in model.labels
     assert found.count() == odd.count() and langid.predict(none, model).count() == 0
     assert langid.fit(none, "text", "lang", F.col("doc_id")) is None
-    assert {r.lang_pred for r in langid.predict(odd, None).collect()} == {"und"}
+    unlearned = langid.predict(odd, None).collect()
+    assert {r.lang_pred for r in unlearned} == {"und"} and all(r.rejected == (not any(c.isalpha() for c in r.text or "")) for r in unlearned)
 
 
 # Language model
