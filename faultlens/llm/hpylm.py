@@ -8,9 +8,8 @@ A restaurant with c customers and t tables for a word, C customers and T tables
     P(word | u) = (c - d t + (s + d T) P(word)) / (s + C),
 
 and so does the parent with the base. Discounts d come from the counts of counts, strengths s are
-parameters. A sweep draws each table number from its conditional distribution given the others (exact, by
-generalised Stirling numbers, up to ``EXACT`` customers; beyond, customers are seated in
-batches), then seats the parent's customers anew. Predictive probabilities are averaged over the sweeps after the
+parameters. A sweep draws each table number from its conditional distribution given the others, S_d(c, t) x^t
+with generalised Stirling numbers S_d, at every number of customers, then seats the parent's customers anew. Predictive probabilities are averaged over the sweeps after the
 first ones.
 
 How it runs: texts become blocks of word hashes. Blocks ask key ranges of words and of word pairs, each
@@ -39,7 +38,8 @@ from faultlens.llm.exchange import bundle, ranges, unbundle
 from faultlens.operators.sizing import settle
 
 END = np.uint64(0x5EED0E4DC0FFEE11)  # the end token, in place of a word's hash
-EXACT = 128
+EXACT = 128  # customers up to which the numbers come from a table; beyond, the same numbers come from an integral
+NODES, REACH = 64, 40.0  # places of the integral on one half of its path, and how far it goes: exp(-REACH) is left out
 BLOCK_BYTES = 4_000_000
 _48 = np.uint64(16)  # words are known to pairs by the upper 48 bits of their hash
 
@@ -86,18 +86,93 @@ def draw_tables(customers: np.ndarray, x: np.ndarray, d: float, rng: np.random.G
                 mass = np.cumsum(np.exp(weight - weight.max(1, keepdims=True)), axis=1)
                 tables[part] = 1 + (rng.random(len(part))[:, None] * mass[:, -1:] > mass).sum(1).clip(max=c - 1)
     large = np.flatnonzero(~small)
-    seated, found = np.ones(len(large)), np.ones(len(large))
-    while len(large):
-        many = np.minimum(np.maximum(1, seated // 64), customers[large] - seated)
-        chance = x[large] / (x[large] + np.maximum(seated - d * found, 1e-9))
-        found = np.minimum(found + rng.binomial(many.astype(np.int64), chance), seated + many)
-        seated = seated + many
-        done = seated >= customers[large]
-        tables[large[done]] = found[done].astype(tables.dtype)
-        large, seated, found = large[~done], seated[~done], found[~done]
+    if len(large):
+        tables[large] = _draw_large(customers[large].astype(float), x[large].astype(float), d, rng)
     return tables
 
 
+def _center(c: np.ndarray, x: np.ndarray, d: float) -> np.ndarray:
+    """About the mean of t under S_d(c, t) x^t: expected tables at the strength v with v^(1-d) (v+c)^d = x."""
+    low, high = np.full(len(c), -700.0), np.log(np.maximum(x, 1e-300)) + 1
+    for _ in range(60):
+        mid = (low + high) / 2
+        over = (1 - d) * mid + d * np.log(np.exp(mid) + c) > np.log(x)
+        low, high = np.where(over, low, mid), np.where(over, mid, high)
+    v = np.exp(low)
+    return np.clip(1 + (x - v) / d, 1, c)
+
+
+def _draw_large(c: np.ndarray, x: np.ndarray, d: float, rng: np.random.Generator) -> np.ndarray:
+    """Draws of t from S_d(c, t) x^t where a table of the numbers would be too long."""
+    out, chance = np.empty(len(c), np.int64), rng.random(len(c))
+    center = _center(c, x, d)
+    # t is a sum of c independent 0/1 draws, so its variance is below its mean and below c less its mean.
+    half = 9 * np.sqrt(np.minimum(center, c - center + 1)) + 20
+    todo = np.argsort(half, kind="stable")
+    while len(todo):
+        again = []
+        for run in np.array_split(todo, -(-len(todo) // 2048)):
+            low = np.floor(np.maximum(1, center[run] - half[run]))
+            width = int(np.max(np.minimum(c[run], np.ceil(center[run] + half[run])) - low)) + 1
+            weight = log_weights(c[run], x[run], d, low, center[run], width)
+            top = weight.max(1)
+            # A window that cuts off mass is widened.
+            cut = ((low > 1) & (weight[:, 0] > top - 25)) | ((low + width <= c[run]) & (weight[:, -1] > top - 25))
+            mass = np.cumsum(np.exp(weight - top[:, None]), axis=1)
+            found = (chance[run][:, None] * mass[:, -1:] > mass).sum(1)
+            out[run] = np.minimum(low + found, c[run])
+            again.append(run[cut])
+        todo = np.concatenate(again)
+        half[todo] *= 2
+    return out
+
+
+def log_weights(c: np.ndarray, x: np.ndarray, d: float, low: np.ndarray, center: np.ndarray, width: int) -> np.ndarray:
+    """log of S_d(c, t) x^t for t = low, low + 1, ..., up to a constant of each row.
+
+    S_d(c, t) = c! / (t! d^t) [z^c] (1 - (1 - z)^d)^t; the coefficient is an integral over z = exp(-s), taken
+    along a parabola around the cut of (1 - z)^d, through the saddle point of the middle t (or at 1/c, if
+    that is farther from the cut; there the integral of 1, which is 0, is taken off), or along the whole
+    circle where the integrand is not narrow on it."""
+    a, b = np.log(1e-300) * np.ones(len(c)), np.full(len(c), np.log(25.0))
+    middle = np.minimum(center, c - 0.5)
+    gap = lambda s: np.where(s.real > 0.7, np.log1p(-np.exp(-np.where(s.real > 0.7, s, 1))), np.log(-np.expm1(-np.where(s.real > 0.7, 1, s))))
+    slope = lambda s: c - middle * d * np.exp(-s + (d - 1) * gap(s)) / -np.expm1(d * gap(s))
+    for _ in range(60):
+        mid = (a + b) / 2
+        with np.errstate(all="ignore"):
+            left = slope(np.exp(mid)) < 0
+        a, b = np.where(left, mid, a), np.where(left, b, mid)
+    saddle = np.exp(a)
+    near = saddle * c < 1
+    sigma = np.where(near, 1 / c, saddle)
+    bend = (slope(sigma * 1.001) - slope(sigma * 0.999)) / (0.002 * sigma)
+    reach = np.sqrt(np.where(near, 1 + REACH, REACH / np.maximum(sigma**2 * bend, 1e-300)))
+    round_ = (2 * sigma * reach > 1)[:, None]
+    y = (np.arange(NODES) + 0.5) / NODES * np.where(round_, np.pi / (2 * sigma[:, None]), reach[:, None])
+    s = np.where(round_, sigma[:, None] * (1 + 2j * y), sigma[:, None] * (1 + 1j * y) ** 2)
+    top = -np.expm1(d * gap(sigma))
+    ratio = -np.expm1(d * gap(s)) / top[:, None]
+    turn, along = np.where(round_, 1, 1 + 1j * y), c[:, None] * (s - sigma[:, None])
+    value = turn * np.exp(along + low[:, None] * np.log(ratio))
+    one = np.where(near, (turn * np.exp(along)).real.sum(1), 0)
+    t = low[:, None] + np.arange(width)
+    out = np.empty((len(c), width))
+    for k in range(width):
+        out[:, k] = value.real.sum(1) - one * np.exp(-(low + k) * np.log(top)) if near.any() else value.real.sum(1)
+        value *= ratio
+    with np.errstate(divide="ignore", invalid="ignore"):
+        out = np.log(np.maximum(out, 0)) + t * (np.log(x / d) + np.log(top))[:, None] - _log_factorial(t)
+    return np.where((t <= c[:, None]) & ~np.isnan(out), out, -np.inf)
+
+
+def _log_factorial(t: np.ndarray) -> np.ndarray:
+    exact = np.concatenate(([0.0], np.cumsum(np.log(np.arange(1, 32)))))
+    n = np.maximum(t, 31)
+    series = (n + 0.5) * np.log(n) - n + 0.5 * np.log(2 * np.pi) + 1 / (12 * n) - 1 / (360 * n**3)
+    return np.where(t < 32, exact[np.minimum(t, 31).astype(np.int64)], series)
+
+
 # Blocks of texts
 
 _BLOCK = "block long, keys array<{key}>, held binary, sizes binary, words binary, tokens binary"

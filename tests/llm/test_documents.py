@@ -266,6 +266,27 @@ def test_stirling_draws():
     assert large[0] == 1 and large[1] == 0 and 100 < large[2] < 20_000
 
 
+
+@pytest.mark.parametrize("d", [0.1, 0.6, 0.95])
+@pytest.mark.parametrize("c", [127, 128, 129, 1500])
+@pytest.mark.parametrize("x", [0.05, 1.0, 20.0, 3000.0])
+def test_one_law_at_every_size(c, d, x):
+    weight = hpylm.log_stirling(c, d)[c, 1:] + np.log(x) * np.arange(1, c + 1)
+    share = np.exp(weight - weight.max())
+    share /= share.sum()
+    mean = share @ np.arange(1, c + 1)
+    drawn = hpylm.draw_tables(np.full(20_000, c), np.full(20_000, x), d, np.random.default_rng(3))
+    spread = np.sqrt(share @ (np.arange(1, c + 1) - mean) ** 2)
+    assert abs(drawn.mean() - mean) <= 5 * spread / np.sqrt(20_000) + 1e-3
+    assert np.abs(np.bincount(drawn, minlength=c + 1)[1:] / 20_000 - share).max() < 0.02
+
+
+def test_draws_of_many_customers():
+    for c in (100_000, 10**9):  # here the law tends to 1 + Poisson(x / d)
+        drawn = hpylm.draw_tables(np.full(5_000, c), np.full(5_000, 6.0), 0.6, np.random.default_rng(4))
+        assert abs(drawn.mean() - 11) < 0.25 and abs(drawn.var() - 10) < 1.2
+
+
 def plain_counts(rows):
     held = [zlib.crc32(("" if k is None else str(k)).encode()) % 10 == 0 for k, _ in rows]
     count = Counter(w for (_, t), h in zip(rows, held) if not h for w in [*words(t), None])
