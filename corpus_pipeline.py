@@ -14,7 +14,7 @@ from faultlens.llm import bpe, decontaminate, langid, line_windows, simhash
 from faultlens.operators.sizing import settle
 
 WORDS = 5  # words in a shingle of near-duplicates
-SIMILARITY = 0.8  # share of equal fingerprint bits from which two texts are near-duplicates
+SIMILARITY = 0.8  # Jaccard similarity of the shingle sets from which two texts are near-duplicates
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

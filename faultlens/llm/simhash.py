@@ -160,9 +160,33 @@ def stars(tree: np.ndarray, queries: np.ndarray | None, radius: int) -> tuple[np
     return moved, final[moved]
 
 
-def linked(keyed: DataFrame, lanes: list[str], radius: int, shard: int = SHARD) -> DataFrame:
+def hits(tree: np.ndarray, queries: np.ndarray | None, radius: int, groups: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs within the radius, places in tree + queries. Without ``groups``: a forest of such pairs that
+    joins what they all join. With them: every pair of two different groups."""
+    n = len(tree) + (0 if queries is None else len(queries))
+    asked, shift = (tree, 0) if queries is None else (queries, len(tree))
+    found_a, found_b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    forest = np.arange(n)
+    for member, near in BKTree(tree).search(asked, radius):
+        near = near + shift
+        if groups is not None:
+            near = near[(groups[near] != groups[member]) & (near > member)]
+        else:
+            roots, first = np.unique(forest[near], return_index=True)
+            near = near[first[roots != forest[member]]]
+            if len(near):
+                forest[np.isin(forest, forest[near])] = forest[member]
+        found_a.append(np.full(len(near), member))
+        found_b.append(near)
+    return np.concatenate(found_a), np.concatenate(found_b)
+
+
+def linked(keyed: DataFrame, lanes: list[str], radius: int, shard: int = SHARD, group: str | None = None, pairs: bool = False) -> DataFrame:
     """Links (a, b) of ``_node`` numbers whose closure is that of all links within the radius
-    between rows that share a shard ``_key`` (long). ``lanes`` are the fingerprint's columns."""
+    between rows that share a shard ``_key`` (long). ``lanes`` are the fingerprint's columns. With ``pairs``
+    every link is itself within the radius; with ``group``, a column, all those between different groups."""
+    n_lanes, more = len(lanes), [] if group is None else [group]
+    lanes = [*lanes, *more]
     # Written first: the join below then deals both sides itself and can split a hot key.
     sizes = settle(keyed.groupBy("_key").count().filter(F.col("count") > 1))
     slices = F.ceil(F.col("count") / F.lit(shard)).cast("int")
@@ -194,12 +218,13 @@ def linked(keyed: DataFrame, lanes: list[str], radius: int, shard: int = SHARD)
         found_a, found_b = [], []
         for part in np.split(rows, cuts):
             own, other, nodes = part[0, 1], part[0, 2], part[:, 4]
-            prints = np.ascontiguousarray(part[:, 5:]).view(np.uint64)
+            prints = np.ascontiguousarray(part[:, 5 : 5 + n_lanes]).view(np.uint64)
             first = part[:, 3] == own
             if len(part) < 2 or (own != other and (first.all() or not first.any())):
                 continue
-            a, b = stars(prints, None, radius) if own == other else stars(prints[first], prints[~first], radius)
-            order = nodes if own == other else np.concatenate((nodes[first], nodes[~first]))
+            at = np.arange(len(part)) if own == other else np.concatenate((np.flatnonzero(first), np.flatnonzero(~first)))
+            order, cell_ = nodes[at], (prints, None) if own == other else (prints[first], prints[~first])
+            a, b = hits(*cell_, radius, part[at, -1] if more else None) if pairs else stars(*cell_, radius)
             found_a.append(order[a])
             found_b.append(order[b])
         if found_a:
@@ -267,32 +292,45 @@ def near_duplicates(
 
 
 LANES = 4  # 64-bit lanes of the wide fingerprint
-PROBED = 2  # lanes whose bits make shard keys
 RUN = 16  # bits of a shard key
-UNSURE = 4  # least sure bits of a run; each is also tried the other way
+UNSURE = 6  # least sure bits of a run; each is also tried the other way
+REACH = 72  # bits of the wide fingerprint in which candidates may differ; at Jaccard 0.8 the mean is about 38
+
+
+def shingle_set(text: str | None, words: int) -> np.ndarray:
+    """Different shingle hashes of a text, ascending."""
+    return np.unique(np.array(shingle_hashes(text, words), np.uint64))
+
+
+def _set_number(shingles: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(shingles.tobytes(), 7)
 
 
 def wide_fingerprints(docs: DataFrame, words: int, key: str, text: str) -> DataFrame:
-    """Key, lanes f0 to f3 and the shard keys of each text. Lane 0 is the plain fingerprint; the other lanes
-    take further mixes of the same shingle hashes. Shard keys: each run of 16 bits of lane 0, as it
-    is and with one of its least sure bits (those closest to half of the hashes) turned."""
+    """Key, ``_node`` (a number of the text's set of shingles), lanes f0 to f3 and the shard keys of each text. Lanes
+    take different mixes of the shingle hashes, each shingle once. Shard keys: each run of 16 bits of every
+    lane, as it is and with one of its least sure bits (those closest to half of the hashes) turned.
+    Texts without a word have no key."""
     kind = docs.schema[key].dataType.simpleString()
     lanes = [f"f{k}" for k in range(LANES)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in text_slices(batches, "_text"):
-            each = [shingle_hashes(t, words) for t in piece.column("_text").to_pylist()]
+            each = [shingle_set(t, words) for t in piece.column("_text").to_pylist()]
             sizes = np.array([len(x) for x in each], np.int64)
-            flat = np.fromiter((h for x in each for h in x), np.uint64, int(sizes.sum()))
+            flat = np.concatenate(each)
             counts = [ones(flat if k == 0 else mix(flat * np.uint64(2 * k + 1) + np.uint64(k)), sizes) for k in range(LANES)]
             prints = [majority(c, sizes).view(np.int64) for c in counts]
-            keys = np.concatenate([_probes(counts[k], sizes, k) for k in range(PROBED)], axis=1)
-            arrays = [pa.array(p) for p in prints]
-            arrays.append(pa.FixedSizeListArray.from_arrays(pa.array(keys.reshape(-1)), keys.shape[1]).cast(pa.list_(pa.int32())))
-            yield pa.RecordBatch.from_arrays([piece.column("_key"), *arrays], [key, *lanes, "_keys"])
+            keys = np.concatenate([_probes(counts[k], sizes, k) for k in range(LANES)], axis=1)
+            nodes = np.array([_set_number(x) for x in each], np.uint64).view(np.int64)
+            arrays = [pa.array(nodes), *(pa.array(p) for p in prints)]
+            many = np.where(sizes > 0, keys.shape[1], 0)
+            ends = np.concatenate(([0], np.cumsum(many))).astype(np.int32)
+            arrays.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[sizes > 0].reshape(-1))))
+            yield pa.RecordBatch.from_arrays([piece.column("_key"), *arrays], [key, "_node", *lanes, "_keys"])
 
     columns = ", ".join(f"{x} long" for x in lanes)
-    return docs.select(docs[key].alias("_key"), docs[text].alias("_text")).mapInArrow(run, f"`{key}` {kind}, {columns}, _keys array<int>")
+    return docs.select(docs[key].alias("_key"), docs[text].alias("_text")).mapInArrow(run, f"`{key}` {kind}, _node long, {columns}, _keys array<int>")
 
 
 def _probes(counts: np.ndarray, sizes: np.ndarray, lane: int) -> np.ndarray:
@@ -306,24 +344,64 @@ def _probes(counts: np.ndarray, sizes: np.ndarray, lane: int) -> np.ndarray:
     return (every + ((np.arange(runs) + lane * runs) << RUN)[None, :, None]).reshape(len(counts), -1).astype(np.int32)
 
 
+def confirmed(candidates: DataFrame, unique: DataFrame, docs: DataFrame, words: int, similarity: float, key: str, text: str) -> DataFrame:
+    """The candidates (a, b) whose sets of shingles have at least this Jaccard similarity."""
+    asked = candidates.select(F.col("a").alias("_node")).unionByName(candidates.select(F.col("b").alias("_node"))).distinct()
+    ids = settle(unique.join(asked, "_node").select(F.col("_least").alias(key)).distinct())
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in text_slices(batches, text):
+            each = [shingle_set(t, words) for t in piece.column(text).to_pylist()]
+            nodes = np.array([_set_number(x) for x in each], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array([x.tobytes() for x in each], pa.binary())], ["_node", "_set"])
+
+    # Rows that repeat an id may have several texts; each has its own node.
+    rows = docs.join(ids.hint("merge"), key, "left_semi").select(text)
+    held = settle(rows.mapInArrow(sets, "_node long, _set binary").dropDuplicates(["_node"]))
+    side = lambda c: held.select(F.col("_node").alias(c), F.col("_set").alias(f"_set_{c}")).hint("merge")
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for x, y in zip(batch.column("_set_a"), batch.column("_set_b")):
+                x, y = (np.frombuffer(v.as_py(), np.uint64) for v in (x, y))
+                if min(len(x), len(y)) < similarity * max(len(x), len(y)) - 1e-9:
+                    good.append(False)
+                    continue
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                good.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    return candidates.join(side("a"), "a").join(side("b"), "b").select("a", "b", "_set_a", "_set_b").mapInArrow(check, "a long, b long")
+
+
 def keep_representatives(
     docs: DataFrame, words: int = 5, similarity: float = 0.8, shard: int = SHARD, key: str = "doc_id", text: str = "text"
 ) -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each group the document with the smallest id stays.
 
-    Two texts are near-duplicates if their wide fingerprints agree in at least ``similarity`` of
-    the bits; groups follow the links. Shards bring together texts that agree on a run of bits up to
-    one unsure bit on either side (measured: all of 134 pairs whose shingle sets have a Jaccard
-    similarity of 0.8 or more). Rows with a null id stay; rows that repeat an id are one document,
+    Two texts are near-duplicates if their sets of word shingles have a Jaccard similarity of at least
+    ``similarity``; groups follow the links. Candidates share a shard and differ in at most ``REACH`` bits of
+    the wide fingerprint; each link is confirmed by the sets. First a forest of candidates in every
+    shard is confirmed, then all candidates between groups that are still apart. Texts
+    without a word are like each other only. Rows with a null id stay; rows that repeat an id are one document,
     of which the row with the smallest text stays."""
     lanes = [f"f{k}" for k in range(LANES)]
-    prints = settle(wide_fingerprints(docs.filter(F.col(key).isNotNull()), words, key, text))
-    node = F.xxhash64(*lanes)
-    unique = settle(prints.groupBy(*lanes).agg(F.min(key).alias("_least"), F.min("_keys").alias("_keys")).withColumn("_node", node))
-    keyed = unique.select("_node", *lanes, F.explode(F.col("_keys").cast("array<long>")).alias("_key"))
+    known = docs.filter(F.col(key).isNotNull())
+    prints = settle(wide_fingerprints(known, words, key, text))
+    node = F.col("_node")
+    # Equal nodes are equal sets, so they have equal lanes and keys.
+    unique = settle(prints.groupBy("_node").agg(F.min(key).alias("_least"), *(F.min(x).alias(x) for x in lanes), F.min("_keys").alias("_keys")))
     repeats = prints.groupBy(key).agg(F.count("*").alias("n"), F.min(node).alias("a"), F.max(node).alias("b")).filter("n > 1")
     repeats = settle(repeats)
-    found = linked(keyed, lanes, int(64 * LANES * (1 - similarity)), shard)
+    sure = lambda c: confirmed(c, unique, known, words, similarity, key, text)
+    keyed = unique.select("_node", *lanes, F.explode(F.col("_keys").cast("array<long>")).alias("_key"))
+    first = settle(sure(settle(linked(keyed, lanes, REACH, shard, pairs=True))))
+    groups = settle(components(first)).select(F.col("node").alias("_node"), F.col("root").alias("_group"))
+    apart = unique.join(groups, "_node", "left").withColumn("_group", F.coalesce("_group", "_node"))
+    apart = apart.select("_node", *lanes, "_group", F.explode(F.col("_keys").cast("array<long>")).alias("_key"))
+    second = sure(settle(linked(apart, lanes, REACH, shard, group="_group", pairs=True)))
+    found = first.unionByName(second)
     roots = settle(components(found.unionByName(repeats.select("a", "b").filter("a <> b"))))
     rooted = unique.select("_node", "_least").join(roots.withColumnRenamed("node", "_node"), "_node", "left")
     rooted = rooted.withColumn("root", F.coalesce("root", "_node"))
@@ -331,7 +409,7 @@ def keep_representatives(
     least = settle(rooted.groupBy("root").agg(F.min("_least").alias("_kept")))
     named = settle(rooted.join(least, "root").select("_node", "_kept"))
     # Only ids that go are sent to the texts.
-    gone = settle(prints.select(key, node.alias("_node")).join(named, "_node").filter(F.col(key) != F.col("_kept")).select(key).distinct())
+    gone = settle(prints.select(key, "_node").join(named, "_node").filter(F.col(key) != F.col("_kept")).select(key).distinct())
     # One plan at every size: the ids that go grow with the corpus, so they are never sent whole.
     left = docs.join(gone.hint("merge"), key, "left_anti").select(docs.columns)
     if repeats.isEmpty():

@@ -107,6 +107,25 @@ def test_representatives(spark, documents, odd, none):
     assert simhash.keep_representatives(none).count() == 0
 
 
+def near_texts(n, similarity, rng):
+    """Pairs of texts of which about this share of all 5-word shingles is common: words changed at the end."""
+    rows = []
+    for i in range(n):
+        size = int(rng.choice([40, 200, 1000]))
+        base = rng.integers(0, 10**9, size + 4).astype(str)
+        changed = base.copy()
+        k = int(np.floor(size * (1 - similarity) / (1 + similarity)))  # last k shingles differ: (size - k) / (size + k)
+        changed[len(changed) - k :] = rng.integers(0, 10**9, k).astype(str)
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(changed))]
+    return rows
+
+
+def test_no_near_pair_is_lost(spark):
+    docs = spark.createDataFrame(near_texts(1500, 0.8, np.random.default_rng(8)), "doc_id long, text string")
+    kept = [r.doc_id for r in simhash.keep_representatives(docs).select("doc_id").collect()]
+    assert sorted(kept) == list(range(0, 3000, 2))
+
+
 # Lines
 
 
