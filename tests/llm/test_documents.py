@@ -126,6 +126,13 @@ def test_no_near_pair_is_lost(spark):
     assert sorted(kept) == list(range(0, 3000, 2))
 
 
+def test_links_are_confirmed(spark):
+    rows = near_texts(200, 0.73, np.random.default_rng(9))  # of all these pairs at most 0.75 is common
+    rows += [(1000, ""), (1001, None), *((2000 + i, " ".join(f"{i}x{k}" for k in range(6))) for i in range(300))]
+    kept = {r.doc_id for r in simhash.keep_representatives(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == {r[0] for r in rows} - {1001}
+
+
 # Lines
 
 
