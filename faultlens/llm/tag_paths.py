@@ -26,18 +26,23 @@ from faultlens.llm.blocks import text_slices
 
 # Element names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes template".split())
+RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes template annotation annotation-xml".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike"
-    " strong sub sup time tt u var wbr".split()
+    " strong sub sup time tt u var wbr math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle msub msup msubsup munder mover"
+    " munderover mmultiscripts mtable mtr mtd mpadded mphantom semantics annotation annotation-xml".split()
 )
-NEVER = frozenset("head nav footer aside form script style noscript template iframe button select option svg math dialog menu object".split())
-#: Words of class and id names of parts that are not the article.
+NEVER = frozenset("head nav footer aside form script style noscript template iframe button select option svg dialog menu object".split())
+#: Words of class, id and role names of parts that are not the article. They count in names made of them and
+#: of PLACES only ("sidebar-left", not "no-sidebar"), and never for an element around an article.
 MARKED = frozenset(
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent notice notices"
     " alert popup modal overlay newsletter subscribe signup sidebar side aside menu navigation nav navbar breadcrumb breadcrumbs"
     " footer foot comment comments reply replies disqus discussion share sharing social related recommended widget login".split()
 )
+#: Those that also name parts of articles: dropped only if no text in them has a tag path of the content.
+UNSURE = frozenset("discussion related recommended side foot notice notices alert social share sharing menu login promotion sponsor widget".split())
+PLACES = frozenset("left right top bottom box list section area wrapper container inner slot block panel bar links buttons unit".split())
 HEADS = frozenset("header masthead topbar".split())  # not article text, unless they stand inside the article
 ARTICLE = frozenset(("article", "main"))
 PARAGRAPH_ENDS = frozenset(
@@ -63,10 +68,14 @@ def _smooth(values: np.ndarray) -> np.ndarray:
     return (padded[:-2] + 2 * padded[1:-1] + padded[2:]) / 4
 
 
+def _marked(words: list[str], known: frozenset[str]) -> bool:
+    return any(w in known for w in words) and all(w in MARKED or w in PLACES for w in words)
+
+
 def main_text(page: str | None, share: float = SHARE, holds: float = HOLDS) -> str:
     if not page:
         return ""
-    tags, parents, outside, path_of = ["#"], [0], [False], [0]  # elements
+    tags, parents, never, mark, path_of = ["#"], [0], [False], [0], [0]  # elements; mark 1: not article text, 2: perhaps not
     paths: dict[tuple[int, str], int] = {}
     stack, open_tags = [0], {}
     blocks: list[tuple[str, int, list[tuple[int, int, int]]]] = []  # text, element, its pieces
@@ -135,9 +144,15 @@ def main_text(page: str | None, share: float = SHARE, holds: float = HOLDS) -> s
         parents.append(above)
         path_of.append(paths.setdefault((path_of[above], name), len(paths) + 1))
         inside = any(open_tags.get(x) for x in ARTICLE)
-        words = {w for v in _NAMES.findall(m[3] or m[6] or "") for w in _WORDS.findall(v.lower())}
-        away = outside[above] or name in NEVER or (name not in ARTICLE and name not in ("body", "html") and bool(words & MARKED))
-        outside.append(away or (not inside and (name in HEADS or name not in ARTICLE and bool(words & HEADS))))
+        tokens = [_WORDS.findall(x) for v in _NAMES.findall(m[3] or m[6] or "") for x in v.strip("\"'").lower().split()]
+        never.append(name in NEVER or (not inside and name in HEADS))
+        kind = 0
+        if name not in ARTICLE:
+            if name not in ("body", "html") and any(_marked(t, MARKED) for t in tokens):
+                kind = 1 if any(_marked(t, MARKED - UNSURE) for t in tokens) else 2
+            if not inside and any(w in HEADS for t in tokens for w in t):
+                kind = 1
+        mark.append(kind)
         if name in RAW:
             stop = re.compile(rf"</{re.escape(name)}(?=[\s/>]|\Z)[^>]*>?", re.I).search(page, at)
             at = stop.end() if stop else end
@@ -148,7 +163,24 @@ def main_text(page: str | None, share: float = SHARE, holds: float = HOLDS) -> s
         open_tags[name] = open_tags.get(name, 0) + 1
     flush()
 
+    around = [name in ARTICLE and not never[e] for e, name in enumerate(tags)]
+    for e in range(len(tags) - 1, 0, -1):
+        around[parents[e]] |= around[e] and not never[e]
+    mark = [0 if around[e] else k for e, k in enumerate(mark)]
+
+    def left_out() -> list[bool]:
+        out = [False] * len(tags)
+        for e in range(1, len(tags)):
+            out[e] = out[parents[e]] or never[e] or mark[e] > 0
+        return out
+
+    outside = left_out()
     held = [i for i, (_, element, _) in enumerate(blocks) if not outside[element]]
+    if not held:
+        # Names alone don't empty a page.
+        mark = [0] * len(tags)
+        outside = left_out()
+        held = [i for i, (_, element, _) in enumerate(blocks) if not outside[element]]
     if not held:
         return ""
     # Ratios of the paths over the whole page, then smoothed over the pieces in page order.
@@ -162,6 +194,19 @@ def main_text(page: str | None, share: float = SHARE, holds: float = HOLDS) -> s
     fused = _smooth(np.bincount(path, length)[path] / number) * (1 + _smooth(np.bincount(path, marks)[path] / number))
     total = np.bincount(path, fused)[path] / number
     usable = ~np.array([outside[e] for _, e, _ in blocks])[block]
+    if 2 in mark:
+        if not usable.any():
+            return ""
+        content_paths = set(path[usable & (total >= share * total[usable].max())].tolist())
+        kept = [False] * len(tags)
+        for _, e, own in blocks:
+            kept[e] |= any(p in content_paths for p, _, _ in own)
+        for e in range(len(tags) - 1, 0, -1):
+            kept[parents[e]] |= kept[e] and mark[e] != 1 and not never[e]
+        mark = [0 if k == 2 and kept[e] else k for e, k in enumerate(mark)]
+        outside = left_out()
+        held = [i for i, (_, element, _) in enumerate(blocks) if not outside[element]]
+        usable = ~np.array([outside[e] for _, e, _ in blocks])[block]
     chosen = usable & (total >= share * total[usable].max())
     content = np.bincount(block, np.where(chosen, length, 0), len(blocks))
     # Content length under each element; children come after their parents.

@@ -80,6 +80,24 @@ def test_page(page, text):
     assert tag_paths.main_text(page) == text
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ('<div class="content no-sidebar"><article><p>One, two.</p></article></div>', "One, two."),
+        ('<div class="sidebar"><article><p>One, two.</p></article></div>', "One, two."),
+        ('<div class="sidebar-left"><p>Link, link.</p></div><article><p>One, two.</p></article>', "One, two."),
+        *[
+            (f'<article><section><p>One, two, three.</p></section><section {name}><p>Four, five, six.</p></section></article>', "One, two, three.\nFour, five, six.")
+            for name in ('id="discussion"', 'class="related-work"', 'class="side-effects"', 'class="social-policy"', 'class="menu-of-the-day"', 'class="foot-note"')
+        ],
+        ('<article><section><p>One, two, three.</p></section><section class="comments"><p>Four, five, six.</p></section></article>', "One, two, three."),
+        ("<article><p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x = 2</annotation></math>, then.</p></article>", "Let x=2, then."),
+    ],
+)
+def test_names_are_evidence(page, text):
+    assert tag_paths.main_text(page) == text
+
+
 @pytest.mark.parametrize("page", ["<div>" * 50_000 + "x, y" + "</b>" * 50_000, '<a "' * 20_000, "<p>x, y<p>" * 20_000, "<!--" * 20_000, "<" * 50_000])
 def test_long_pages(page):
     assert isinstance(tag_paths.main_text(page), str)
