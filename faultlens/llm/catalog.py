@@ -9,7 +9,21 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultlens.llm import bpe, chunks, decontaminate, hpylm, langid, line_windows, nra, simhash, simple8b, tag_paths
+from faultlens.llm import (
+    bpe,
+    chunks,
+    decontaminate,
+    hard_negatives,
+    hpylm,
+    langid,
+    line_windows,
+    multiset_hash,
+    nra,
+    simhash,
+    simple8b,
+    tag_paths,
+    variants,
+)
 from faultlens.operators.sizing import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -129,3 +143,41 @@ def op9_tag_paths(spark: SparkSession, folder: str) -> DataFrame:
 def op10_bpe_replay(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return bpe.digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+MINED_SQL = """
+WITH v AS (
+  SELECT row_number() OVER () AS row_no, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT a.row_no, a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, CAST(list_dot_product(a.e, c.e) AS BIGINT) AS score
+  FROM v a JOIN v c ON a.vec_id <> c.vec_id WHERE a.vec_id % 100 = 0
+), positive AS (
+  SELECT *, row_number() OVER (PARTITION BY row_no ORDER BY score DESC, vec_id) AS k FROM scored WHERE same
+), ranked AS (
+  SELECT p.anchor_id, p.vec_id AS positive_id, n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score,
+    CAST(row_number() OVER (PARTITION BY p.row_no, p.k ORDER BY n.score DESC, n.vec_id) AS INTEGER) AS rank
+  FROM positive p JOIN scored n ON p.row_no = n.row_no
+  WHERE p.k <= 5 AND NOT n.same AND 30 * p.score <= 100 * n.score AND 100 * n.score <= 90 * p.score
+)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM ranked WHERE rank <= 10
+"""
+
+
+@query("op11_hard_negatives", MINED_SQL)
+def op11_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows.withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
+@query("op12_multiset_hash")
+def op12_multiset_hash(spark: SparkSession, folder: str) -> DataFrame:
+    return multiset_hash.edited(table(spark, folder, "documents"))
+
+
+@query("op13_spelling_variants")
+def op13_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return variants.group(variants.run_counts(table(spark, folder, "documents"), typo_every=97))
