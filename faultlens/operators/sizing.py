@@ -41,7 +41,20 @@ def settle(df: DataFrame) -> DataFrame:
     app = spark.sparkContext.applicationId
     path = f"{shared_folder(spark).rstrip('/')}/faultlens-{app}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    held = spark.read.schema(df.schema).parquet(path)
+    held.settled_path = path
+    return held
+
+
+def drop_settled(df: DataFrame) -> None:
+    """Remove one table that :func:`settle` has returned, once nothing will read it any more."""
+    _delete(df.sparkSession, df.settled_path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(conf).delete(target, True)
 
 
 def may_be_sent(df: DataFrame, rows: int | None = None, size: int = SENT_BYTES) -> bool:
@@ -55,10 +68,7 @@ def may_be_sent(df: DataFrame, rows: int | None = None, size: int = SENT_BYTES)
 def release(spark: SparkSession) -> None:
     """Remove the tables that this application has written with :func:`settle`. For a caller who has
     finished with all results that were made from them."""
-    path = f"{shared_folder(spark).rstrip('/')}/faultlens-{spark.sparkContext.applicationId}"
-    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(conf).delete(target, True)
+    _delete(spark, f"{shared_folder(spark).rstrip('/')}/faultlens-{spark.sparkContext.applicationId}")
 
 
 def has_at_most(df: DataFrame, rows: int) -> bool:

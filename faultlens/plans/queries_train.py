@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from faultlens.operators import evaluate as G
 from faultlens.operators import features as X
 from faultlens.operators import linear as L
+from faultlens.operators import linear_wide as W
 from faultlens.operators import search as H
 from faultlens.operators import split as D
 from faultlens.operators import trees as M
@@ -63,10 +64,11 @@ def ovr_logistic(spark, folder):
     return rounded(L.fit_summary(rows, fitted, free_intercept=True))
 
 
-@query("ovr_linear_svm")
+@query("ovr_linear_svm", FIT_SQL)
 def ovr_linear_svm(spark, folder):
+    """The plain hinge; ``optimal`` says that the duality gap is closed."""
     rows = features(spark, folder)
-    return measured("svm", M.score(rows, M.fit_ovr_linear_svm(rows, C=0.1, steps=100)))
+    return rounded(L.fit_summary(rows, L.fit_ovr_linear(rows, N_LABELS, N_DIMS, "hinge", C=0.1, balanced=False)))
 
 
 @query(
@@ -86,10 +88,20 @@ def ovr_forest(spark, folder):
 @query("ovr_linear", FIT_SQL)
 def ovr_linear(spark, folder):
     rows = features(spark, folder)
-    models = L.fit_ovr_linear(rows, N_LABELS, N_DIMS, "logistic", steps=400, C=0.1)
+    models = L.fit_ovr_linear(rows, N_LABELS, N_DIMS, "logistic", C=0.1)
     return rounded(L.fit_summary(rows, models))
 
 
+@query("ovr_linear_wide", FIT_SQL)
+def ovr_linear_wide(spark, folder):
+    """The weights in a table, as for a vocabulary that no machine holds; judged like those at the driver."""
+    rows = features(spark, folder)
+    cells = rows.select("id", F.posexplode("features").alias("d", "weight"))
+    cells = cells.select("id", F.format_string("d%02d", "d").alias("term"), F.col("weight").cast("double"))
+    models = W.fit_linear_wide(W.wide_rows(rows, cells), L.ovr_tasks(N_LABELS, C=0.1))
+    return rounded(L.fit_summary(rows, W.as_held(models, [f"d{d:02d}" for d in range(N_DIMS)])))
+
+
 @query(
     "score_linear",
     f"SELECT id, label_idx::INTEGER AS label_idx, {r6('s + label_idx * CAST(0.1 AS DOUBLE)')} AS score FROM"
@@ -112,7 +124,24 @@ def folded(rows, folds: int = 3):
 def cross_validate(spark, folder):
     """The whole embedding grid, three folds and ten labels: 240 models in each pass."""
     candidates = H.expand_grid(H.GRIDS["LR_SBERT"])
-    return H.cross_validate_linear(folded(features(spark, folder)), candidates, N_LABELS, N_DIMS, steps=100)
+    return H.cross_validate_linear(folded(features(spark, folder)), candidates, N_LABELS, N_DIMS)
+
+
+cte("row_folds", "SELECT id, (ntile(3) OVER (ORDER BY id) - 1) AS fold FROM vectors")
+
+
+@query(
+    "cross_validate_fits",
+    "SELECT c::INTEGER AS candidate, f::INTEGER AS fold, label_idx::INTEGER AS label_idx, count(*) AS n_rows, sum(y)::BIGINT AS positives,"
+    " count(*)::DOUBLE AS weight_sum, true AS optimal FROM ranked_rows JOIN row_folds USING (id), range(8) t(c), range(3) u(f)"
+    " WHERE model = 'raw' AND fold <> f GROUP BY ALL",
+)
+def cross_validate_fits(spark, folder):
+    """Every model of the embedding search: what it was fitted on, and whether it is optimal."""
+    candidates = H.expand_grid(H.GRIDS["LR_SBERT"])
+    rows = folded(features(spark, folder))
+    tasks = H.search_tasks(dict(enumerate(candidates)), [0, 1, 2], N_LABELS)
+    return rounded(L.fit_summary(rows, L.fit_linear(rows, tasks, N_DIMS, fold="fold"), "fold"))
 
 
 @query("cross_validate_text")
@@ -120,8 +149,8 @@ def cross_validate_text(spark, folder):
     docs = settle(S.prepared_documents(spark, folder))
     vocabulary = D.label_vocabulary(docs)
     rows = folded(D.binarize(docs, vocabulary))
-    candidates = H.expand_grid({"max_features": [1000], "ngram_max": [1], "min_df": [2], "C": [1.0, 10.0], "penalty": ["l2"]})
-    return H.cross_validate_text(rows, candidates, vocabulary.count(), steps=8)
+    candidates = H.expand_grid({"max_features": [1000], "ngram_max": [1], "min_df": [2], "C": H.C_OPTIONS, "penalty": ["l2"]})
+    return H.cross_validate_text(rows, candidates, vocabulary.count())
 
 
 cte(
@@ -152,7 +181,7 @@ def train_and_compare(spark, folder):
     train, test = scaled.filter(F.col("split") == "train"), scaled.filter(F.col("split") == "test")
 
     def linear(loss):
-        return lambda: L.score_models(test, L.fit_ovr_linear(train, N_LABELS, N_DIMS, loss, steps=15, C=0.1))
+        return lambda: L.score_models(test, L.fit_ovr_linear(train, N_LABELS, N_DIMS, loss, C=0.1))
 
     makers = {
         "LR": linear("logistic"),
@@ -183,9 +212,9 @@ def search_refit(spark, folder):
     n_labels = len(parts.select("y").first()["y"])
     grid = {"max_features": [1000], "ngram_max": [1], "min_df": [2], "C": [0.1, 1.0], "penalty": ["l2"]}
     candidates = H.expand_grid(grid)
-    best = H.select_best(H.cross_validate_text(folded(train), candidates, n_labels, steps=25)).first()["candidate"]
+    best = H.select_best(H.cross_validate_text(folded(train), candidates, n_labels)).first()["candidate"]
     path = f"{shared_folder(spark).rstrip('/')}/faultlens-{spark.sparkContext.applicationId}/model-{uuid.uuid4().hex}"
-    fitted = H.refit_text(train, candidates[best], n_labels, path, steps=60)
+    fitted = H.refit_text(train, candidates[best], n_labels, path)
     loaded = H.score_stored_text(val.select("id", "processed_text"), path)
     weights, how = load_text_weights(spark, f"{path}/text")
     vectors, _ = X.tfidf_vectors(X.with_terms(val.select("id", "processed_text")), weights)
