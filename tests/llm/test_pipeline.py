@@ -41,5 +41,5 @@ def test_stage_with_odd_rows(spark, odd, none, k):
 
 
 def test_queries_registered():
-    assert {n.split("_")[0] for n in catalog.QUERIES} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in catalog.QUERIES} == {f"op{i}" for i in range(1, 14)}
     assert set(catalog.ORACLES) <= set(catalog.QUERIES)
