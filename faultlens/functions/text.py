@@ -19,11 +19,13 @@ TEMPLATE_PHRASES = (
     "Available workarounds:",
 )
 
-# Where a text node ends: script and style with their content, comments, declarations, tags.
+# Possessive runs: read in a loop, without a step on the stack for each character.
+_ATTRIBUTES = r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+"
+# Where a text node ends: script and style with their content (an open one runs to the end; one that closes itself
+# has none), comments, declarations, tags.
 _NODE_BREAK = (
-    r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->|<[!?][^>]*>"
-    # Possessive runs: read in a loop, without a step on the stack for each character.
-    r"|</?[a-z](?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>"
+    rf"(?is)<(script|style)(?=[\s/>]){_ATTRIBUTES}(?<!/)>.*?(?:</\1(?=[\s/>])[^>]*+>|\z)"
+    rf"|<!--.*?-->|<[!?][^>]*>|</?[a-z]{_ATTRIBUTES}>"
 )
 _EDGE_BLANKS = r"(?U)^[\s\u001c-\u001f]+|[\s\u001c-\u001f]+$"
 

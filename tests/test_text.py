@@ -1,6 +1,7 @@
 import re
 from html.parser import HTMLParser
 
+import numpy as np
 from conftest import SMALL
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -90,6 +91,25 @@ def test_html_details(spark):
     assert apply(spark, pages, T.html_to_text) == ["x\ny\nz &lt; é€é &nope;", "a\nb & c < d", ""]
 
 
+def parsed(page):
+    parser = Nodes()
+    parser.feed(page)
+    parser.close()
+    nodes = ["".join(p).strip() for p in parser.parts]
+    return "\n".join(n for n in nodes if n)
+
+
+def test_broken_script_and_style_against_parser(spark):
+    """Open, self-closing and oddly written script and style elements, mixed with text and tags."""
+    pieces = ["a", " b c ", "<p>", "</p>", "<b class='x>y'>", "<script>var x = 1;</script>", "<SCRIPT type=\"a>b\">if (a < b) {}</Script >"]
+    pieces += ["<script src='z'/>", "<style>p > a {}</style\n>", "<script>x</scripty>y</script>", "<script-box>", "<styles>"]
+    rng = np.random.default_rng(3)
+    pages = ["".join(rng.choice(pieces, rng.integers(1, 9))) + str(end) for _ in range(60) for end in ("", "<script>var x = 1;", "<style>p {}<p>q</p>")]
+    assert apply(spark, pages, T.html_to_text) == [parsed(page) for page in pages]
+    many = "z" + "<script>" * 200_000  # one open element, read once
+    assert apply(spark, [many], T.html_to_text) == ["z"]
+
+
 def test_lemmas(spark):
     words = ["cats", "cat", "boxes", "box", "flies", "fly", "glass", "wolves", "wolf", "men", "man", "xyzs"]
     lexicon = spark.createDataFrame([(w,) for w in words if w != "men"], "word string")
