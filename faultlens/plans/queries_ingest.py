@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from faultlens.functions import paths as P
 from faultlens.functions import text as T
 from faultlens.operators import ingest as A
+from faultlens.operators.audit import settle_counted
 from faultlens.operators.sizing import require_columns, unmatched_ids
 from faultlens.plans import stand_ins as S
 from faultlens.plans.registry import query, table
@@ -175,3 +176,29 @@ def delimited_parse(spark, folder):
 def id_mismatch_check(spark, folder):
     docs = require_columns(table(spark, folder, "documents"), ["doc_id", "text"])
     return unmatched_ids(docs, require_columns(table(spark, folder, "labels"), ["doc_id"]), "doc_id")
+
+
+@query(
+    "skipped_rows",
+    "SELECT 'lists' AS stage, 'read' AS outcome, count(*) AS n_rows FROM part"
+    " UNION ALL SELECT 'lists', 'unreadable', count(*) FROM part WHERE p_type = 'PROMO'"
+    " UNION ALL SELECT 'links', 'read', count(*) FROM relation_rows"
+    " UNION ALL SELECT 'links', 'no commit link', count(*) FROM relation_rows WHERE NOT contains(url, 'Commit')"
+    " UNION ALL SELECT 'links', 'no commit id', count(*) FROM relation_rows WHERE contains(url, 'Commit')"
+    " AND substr(string_split(string_split(url, '/')[-1], '%')[-1], 3) = ''"
+    " UNION ALL SELECT 'commits', 'read', count(*) FROM commit_links"
+    " UNION ALL SELECT 'commits', 'no such commit', count(*) FROM commit_links WHERE commit_id NOT IN (SELECT commit_id FROM commit_changes)",
+)
+def skipped_rows(spark, folder):
+    """Rows that reading lists, following links and looking up commits leave out, with the reason."""
+    quoted = F.concat(F.lit("['"), F.col("p_name"), F.lit("', '"), F.col("p_brand"), F.lit("']"))
+    text = F.when(F.col("p_type") == "PROMO", F.concat(F.lit("broken ["), F.col("p_name"))).otherwise(quoted)
+    lists = table(spark, folder, "part").select("p_partkey", P.parse_list_literal(text).alias("items"))
+    _, read = settle_counted(lists, "lists", {"unreadable": F.col("items").isNull()})
+    links = A.expand_relations(S.bug_relations(spark, folder)).withColumn("commit_id", P.commit_id(F.col("url")))
+    reasons = {"no commit link": ~P.is_commit_link(F.col("url")), "no commit id": F.col("commit_id").isNull()}
+    links, followed = settle_counted(links, "links", reasons)
+    # Commits are made distinct first, so that one with very many files is one row here.
+    known = S.commit_changes(spark, folder).select("commit_id").distinct().withColumn("known", F.lit(True))
+    _, found = settle_counted(links.join(known, "commit_id", "left"), "commits", {"no such commit": F.col("known").isNull()})
+    return read.unionByName(followed).unionByName(found)

@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from faultlens.functions import paths as P
+from faultlens.operators import audit
 from faultlens.operators import ingest as A
 from faultlens.operators import sizing as Z
 
@@ -101,3 +102,14 @@ def test_checks(spark):
     assert sorted((r.id, r.side) for r in Z.unmatched_ids(df, other, "id").collect()) == [
         (0, "left"), (1, "left"), (3, "right"), (4, "right"),
     ]
+
+
+def test_left_out_rows_are_counted(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, None), (3, ""), (3, ""), (None, "b")], "_id long, text string")
+    reasons = {"blank": F.col("text") == "", "no text": F.col("text").isNull(), "large": F.col("_id") > 2, "never": F.lit(None).cast("boolean")}
+    kept, report = audit.settle_counted(rows, "texts", reasons)
+    assert kept.columns == ["_id", "text"] and sorted(kept.collect(), key=str) == [(1, "a"), (None, "b")]
+    counts = {"read": 5, "blank": 2, "no text": 1, "large": 0, "never": 0}
+    assert [tuple(r) for r in report.collect()] == [("texts", k, n) for k, n in counts.items()]
+    kept, report = audit.settle_counted(rows.limit(0), "none", {"blank": F.col("text") == ""})
+    assert kept.isEmpty() and [r.n_rows for r in report.collect()] == [0, 0]
