@@ -379,7 +379,7 @@ def candidates(unique: DataFrame, similarity: float, shard: int) -> DataFrame:
     if not hot.isEmpty():
         keyed = lookup_join(keyed, hot, "_key", "left")
         own = F.pmod(F.xxhash64("_node", F.lit(1)), F.coalesce("_slices", F.lit(1))).cast("long")
-        every = F.explode(F.sequence(F.lit(0), F.coalesce("_slices", F.lit(1)) - 1)).cast("long")
+        every = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_slices", F.lit(1)).cast("long") - 1))
     else:
         own = every = F.lit(0).cast("long")
     cells = keyed.select("_key", "_node", "_size", *lanes, own.alias("_own"), every.alias("_other"))
