@@ -29,7 +29,15 @@ from pyspark.sql import functions as F
 from faultlens.llm.blocks import text_slices
 
 UNKNOWN = "und"
-_WORD = re.compile(r"[^\W\d_]+")
+_RUN = re.compile(r"[^\W\d_]+")
+
+
+def letter_runs(text: str) -> list[str]:
+    """Runs of letters. The pattern also takes numeric characters such as a half sign; these cut a run."""
+    runs = _RUN.findall(text)
+    if all(map(str.isalpha, runs)):
+        return runs
+    return "".join(c if c.isalpha() else " " for c in " ".join(runs)).split()
 
 
 @dataclass(frozen=True)
@@ -79,7 +87,7 @@ def subwords(words: list[str], s: Settings) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _features(text: str, s: Settings) -> tuple[np.ndarray, np.ndarray] | None:
-    found = _WORD.findall(text.lower())
+    found = letter_runs(text.lower())
     if not found:
         return None
     ids, number = np.unique(subwords(found, s)[0], return_counts=True)
@@ -171,7 +179,7 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFra
         n = len(texts)
         names, score, rejected = np.full(n, UNKNOWN, object), np.zeros(n), np.ones(n, bool)
         seen: dict[str, int] = defaultdict(count().__next__)
-        found = [_WORD.findall(t.lower()) if t else [] for t in texts]
+        found = [letter_runs(t.lower()) if t else [] for t in texts]
         sizes = np.array([len(f) for f in found], np.int64)
         if model is not None and sizes.any():
             ids = np.fromiter((seen[w] for f in found for w in f), np.int64, int(sizes.sum()))

@@ -369,6 +369,9 @@ def test_languages(spark, odd, none):
         assert (r.lang_pred == "und" and r.rejected and r.score == 0) if blank else r.lang_pred in model.labels
     assert found.count() == odd.count() and langid.predict(none, model).count() == 0
     assert langid.fit(none, "text", "lang", F.col("doc_id")) is None
+    signs = spark.createDataFrame([(1, "½ ²"), (2, "① Ⅷ 12 ¾_"), (3, "½ the house² and ①more")], "doc_id long, text string")
+    assert [r.lang_pred == "und" and r.score == 0 and r.rejected for r in langid.predict(signs, model).orderBy("doc_id").collect()] == [True, True, False]
+    assert langid.letter_runs("½ the house² x①y é_ß 日本") == ["the", "house", "x", "y", "é", "ß", "日本"]
     unlearned = langid.predict(odd, None).collect()
     assert {r.lang_pred for r in unlearned} == {"und"} and all(r.rejected == (not any(c.isalpha() for c in r.text or "")) for r in unlearned)
 

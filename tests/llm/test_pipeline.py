@@ -8,6 +8,7 @@ from faultlens.llm import catalog
 from pyspark.sql import functions as F
 
 from .conftest import SMALL
+from .test_documents import plain_kept, plain_lines
 
 
 def test_stages(spark, documents):
@@ -25,6 +26,16 @@ def test_stages(spark, documents):
     assert {r.doc_id for r in corpus_pipeline.run(spark, SMALL).collect()} == set(texts)
 
 
+def test_dedup_stages_equal_plain(spark, documents):
+    """Both deduplicating stages on what the stage before kept, against all pairs and plain line windows."""
+    docs = corpus_pipeline.language(spark, documents, SMALL).cache()
+    rows = lambda df: [(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()]
+    lines = corpus_pipeline.lines(spark, docs, SMALL).cache()
+    assert sorted(rows(lines)) == sorted((k, t) for k, t, _ in plain_lines(rows(docs)))
+    left = corpus_pipeline.near_duplicates(spark, lines, SMALL)
+    assert sorted(k for k, _ in rows(left)) == plain_kept(rows(lines)) and set(rows(left)) <= set(rows(lines))
+
+
 def test_clean_documents_stay(spark, documents):
     first = corpus_pipeline.language(spark, documents, SMALL)
     letters = documents.filter(F.col("text").rlike(r"\p{L}"))
