@@ -56,7 +56,7 @@ STAGES = [
     ("BPE encoding", tokens),
 ]
 
-ORACLE_SQL = None  # language ID, SimHash and BPE are beyond SQL; tests hold run() against plain code
+ORACLE_SQL = None  # language ID, SimHash and BPE are beyond SQL; tests hold both dedup stages and the digests against plain code
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
