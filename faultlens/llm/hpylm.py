@@ -8,9 +8,15 @@ A restaurant with c customers and t tables for a word, C customers and T tables
     P(word | u) = (c - d t + (s + d T) P(word)) / (s + C),
 
 and so does the parent with the base. Discounts d come from the counts of counts, strengths s are
-parameters. A sweep draws each table number from its conditional distribution given the others, S_d(c, t) x^t
-with generalised Stirling numbers S_d, at every number of customers, then seats the parent's customers anew. Predictive probabilities are averaged over the sweeps after the
-first ones.
+parameters. The table numbers t of a restaurant's words have the joint law
+
+    prod S_d(c, t) (d P)^t  Gamma(s / d + T),  T the sum of all t,
+
+with generalised Stirling numbers S_d. A sweep draws g from Gamma(s / d + T) for each restaurant; given g the gamma
+function falls apart, and every t is drawn from its own S_d(c, t) (d P g)^t, all words of a restaurant at
+once and in any number of tasks. Both draws leave the joint law as it is (given the parent's
+probabilities P). Then the parent's customers are seated in the same way. Predictive probabilities are averaged over
+the sweeps after the first ones.
 
 How it runs: texts become blocks of word hashes. Blocks ask key ranges of words and of word pairs, each
 different key once for each block; pair ranges hold the restaurants' shared tables (a pair that stands
@@ -91,6 +97,11 @@ def draw_tables(customers: np.ndarray, x: np.ndarray, d: float, rng: np.random.G
     return tables
 
 
+def restaurant_weight(tables: np.ndarray | float, strength: float, d: float, rng: np.random.Generator) -> np.ndarray:
+    """Draws of g for restaurants with so many tables; a new table of a dish of chance P then weighs d P g."""
+    return rng.gamma(strength / d + tables)
+
+
 def _center(c: np.ndarray, x: np.ndarray, d: float) -> np.ndarray:
     """About the mean of t under S_d(c, t) x^t: expected tables at the strength v with v^(1-d) (v+c)^d = x."""
     low, high = np.full(len(c), -700.0), np.log(np.maximum(x, 1e-300)) + 1
@@ -311,15 +322,6 @@ def _count(kind: int, part: int, asked: list[tuple[int, bytes]]) -> pa.Table:
     return _state(rows)
 
 
-@dataclass(frozen=True)
-class Totals:
-    tokens: int
-    words: int
-    discount: float
-    root_discount: float
-    documents: int = 0
-
-
 def score_texts(docs: DataFrame, held_out: Column, settings: Settings = Settings(), key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, held_out, n_tokens, n_known, train_tokens, base_score, score of every text; learned
     from the texts that are not held out."""
@@ -369,10 +371,13 @@ def score_texts(docs: DataFrame, held_out: Column, settings: Settings = Settings
             kinds = (pa.int32(), pa.int32(), pa.binary())
             return pa.table([pa.array(x, k) for x, k in zip(zip(*rows) if rows else [[]] * 3, kinds)], names=["part", "origin", "payload"])
 
-        root = chain[-1][1:] if chain else (tokens, words)
+        # One weight for the parent, drawn once; those of the contexts are drawn where their tables are summed up.
+        root_tables = chain[-1][2] if chain else words
+        root_weight = float(restaurant_weight(root_tables, s.root_strength, d0, np.random.default_rng([s.seed, sweep, 2])))
 
         def parent(names: tuple, told: pa.Table, own: pa.Table) -> pa.Table:
-            """Seat the parent's customers of a word range; answer every pair range that reported."""
+            """Seat the parent's customers of a word range; answer every pair range that reported
+            with its contexts' weights."""
             keys, c = unbundle(own.column("payload")[0].as_py(), np.uint64, np.int64) if own.num_rows else (np.empty(0, np.uint64), np.empty(0, np.int64))
             part, short = names[0].as_py(), keys >> _48
             shared_u, shared_w, asks = np.zeros(len(c), np.int64), np.zeros(len(c), np.int64), []
@@ -384,10 +389,10 @@ def score_texts(docs: DataFrame, held_out: Column, settings: Settings = Settings
                 asks.append((origin, at))
             tables, customers = (c - shared_u).astype(np.float32), np.maximum(c - shared_w, 1)
             rng = np.random.default_rng([s.seed, sweep, part, 0])
-            x = np.full(len(c), (s.root_strength + d0 * root[1]) / (words + 1))
-            shares = draw_tables(customers, x, d0, rng)
+            weights = restaurant_weight(tables, s.strength, d, rng).astype(np.float32)
+            shares = draw_tables(customers, np.full(len(c), d0 * root_weight / (words + 1)), d0, rng)
             number = (customers - d0 * shares).astype(np.float32)
-            rows = [(origin, part, bundle(tables[at], number[at]), 0, 0) for origin, at in asks]
+            rows = [(origin, part, bundle(weights[at], number[at]), 0, 0) for origin, at in asks]
             counts = (shared_u.astype(np.uint32), shared_w.astype(np.uint32), shares.astype(np.uint32))
             rows.append((-1, part, bundle(*counts), int(shared_w.sum()), int((shares - 1).sum())))
             kinds = (pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64())
@@ -412,9 +417,9 @@ def score_texts(docs: DataFrame, held_out: Column, settings: Settings = Settings
                 return _seats([])
             # Word ranges ascend, and each answered in the order of the report.
             found = [unbundle(answers[p], np.float32, np.float32) for p in sorted(answers)]
-            tables, number = (np.concatenate(x).astype(float) for x in zip(*found))
+            weights, number = (np.concatenate(x).astype(float) for x in zip(*found))
             chance = (number[w] + (s.root_strength + d0 * totals[1]) / (words + 1)) / (s.root_strength + totals[0])
-            x = (s.strength + d * np.maximum(tables[u] - t, 0)) * chance
+            x = d * weights[u] * chance
             t = draw_tables(c, np.maximum(x, 1e-300), d, np.random.default_rng([s.seed, sweep, names[0].as_py(), 1]))
             return _seats([(names[0].as_py(), bundle(t.astype(np.uint32), (total + (t if keep else 0)).astype(np.uint32)), 1)])
 
@@ -518,3 +523,10 @@ def _restaurants(own: pa.Table) -> tuple[np.ndarray, ...]:
     else:
         t, total = np.ones(len(c), np.int64), np.zeros(len(c), np.int64)
     return u, w.astype(np.int64), c, t, total
+
+
+def perplexity(scored: DataFrame, by: str = "held_out", score: str = "score") -> DataFrame:
+    """Texts, tokens and perplexity 10^(-score / tokens) of each value of ``by``; null counts as a value.
+    No rows, no result; a text has its end token at least, so the division is defined."""
+    sums = scored.groupBy(by).agg(F.count("*").alias("texts"), F.sum("n_tokens").alias("tokens"), F.sum(score).alias("_score"))
+    return sums.select(by, "texts", "tokens", F.pow(F.lit(10.0), -F.col("_score") / F.col("tokens")).alias("perplexity"))

@@ -1,5 +1,6 @@
 """Operators on whole texts against plain code."""
 
+import itertools
 import math
 import re
 import zlib
@@ -409,6 +410,60 @@ def test_one_law_at_every_size(c, d, x):
     assert np.abs(np.bincount(drawn, minlength=c + 1)[1:] / 20_000 - share).max() < 0.02
 
 
+@pytest.mark.parametrize("d,s,chances,customers", [(0.7, 1.0, [0.3, 0.5], [4, 3]), (0.4, 2.0, [0.6, 0.1, 0.2], [5, 2, 1]), (0.9, 0.5, [0.9], [7])])
+def test_restaurant_equals_enumeration(d, s, chances, customers):
+    """All seatings of a restaurant: blocks of customers at tables, each dish apart."""
+
+    def partitions(n):
+        if n == 0:
+            yield []
+            return
+        for rest in partitions(n - 1):
+            for i in range(len(rest)):
+                yield [*rest[:i], rest[i] + 1, *rest[i + 1 :]]
+            yield [*rest, 1]
+
+    law = Counter()
+    for seating in itertools.product(*(list(partitions(c)) for c in customers)):
+        sizes, t = [n for x in seating for n in x], tuple(map(len, seating))
+        weight = math.prod(math.prod(j - d for j in range(1, n)) for n in sizes)
+        weight *= math.prod(s + d * k for k in range(1, len(sizes)))
+        law[t] += weight * math.prod(p**k for p, k in zip(chances, t))
+    total = sum(law.values())
+    rng, n = np.random.default_rng(5), 20_000
+    t = np.ones((len(customers), n), np.int64)
+    for _ in range(60):
+        g = hpylm.restaurant_weight(t.sum(0), s, d, rng)
+        t = np.array([hpylm.draw_tables(np.full(n, c), d * p * g, d, rng) for c, p in zip(customers, chances)])
+    got = Counter(map(tuple, t.T.tolist()))
+    assert all(abs(got[k] / n - w / total) < 5 * math.sqrt(0.25 / n) for k, w in law.items())
+
+
+def test_dominant_follower():
+    """One dish of c customers beside T tables: weights S_d(c, t) P^t times the restaurant's growth, summed."""
+    rng, d, n = np.random.default_rng(6), 0.7, 20_000
+    for c, others, p in ((100, 0, 0.3), (30, 0, 0.5), (100, 3, 0.05), (300, 0, 0.3)):
+        t = np.arange(1, c + 1)
+        growth = np.array([math.lgamma(1 / d + others + k) for k in t])
+        weight = hpylm.log_stirling(c, d)[c, 1:] + t * np.log(d * p) + growth
+        mean = np.average(t, weights=np.exp(weight - weight.max()))
+        drawn = np.ones(n, np.int64)
+        for _ in range(40):
+            g = hpylm.restaurant_weight(others + drawn, 1.0, d, rng)
+            drawn = hpylm.draw_tables(np.full(n, c), d * p * g, d, rng)
+        assert abs(drawn.mean() - mean) < 5 * drawn.std() / math.sqrt(n) + 1e-3
+
+
+def test_perplexity(spark, none):
+    rows = [(True, 2, -4.0), (True, 3, -6.0), (False, 1, -1.0), (None, 1, 0.0)]
+    df = spark.createDataFrame(rows, "held_out boolean, n_tokens long, score double")
+    assert {tuple(r) for r in hpylm.perplexity(df).collect()} == {(True, 2, 5, 100.0), (False, 1, 1, 10.0), (None, 1, 1, 1.0)}
+    assert hpylm.perplexity(df.limit(0)).count() == 0
+    got = {r.held_out: r.perplexity for r in hpylm.perplexity(catalog.QUERIES["op1_hpylm"](spark, SMALL)).collect()}
+    base = {r.held_out: r.perplexity for r in hpylm.perplexity(catalog.QUERIES["op1_hpylm"](spark, SMALL), score="base_score").collect()}
+    assert 1 < got[False] < got[True] < base[True]
+
+
 def test_draws_of_many_customers():
     for c in (100_000, 10**9):  # here the law tends to 1 + Poisson(x / d)
         drawn = hpylm.draw_tables(np.full(5_000, c), np.full(5_000, 6.0), 0.6, np.random.default_rng(4))
