@@ -1,8 +1,9 @@
 """Benchmark decontamination: a BM25 index of the test items, asked with every training passage.
 
-Items are the indexed texts; a passage is a window of words of a training text, twice as long as the
-longest item of the index and moved by half its length, so that each item that stands in a text lies
-whole in some passage. An item's score for a passage is BM25 over the passage's different words,
+Items are the indexed texts; a passage is a window of words of a training text. Items belong to length classes
+of up to 8, 16, 32, ... words; a class has passages of twice its greatest length, moved by half of that, so that each item
+that stands in a text lies whole in some passage of its class, whatever other items there are. Each class has an
+index of its own, with word statistics of all items. An item's score for a passage is BM25 over the passage's different words,
 divided by the score that the item gives itself: 1 if the passage holds all its words. All items at or
 above the threshold are found by block-max WAND: posting lists by item with the greatest
 contribution of each list and of each block of it; a passage whose words' list maxima do not add up to
@@ -10,8 +11,9 @@ the threshold is passed over (the maxima of long lists are taken item by item th
 blocks whose maxima do not. Hits are then verified: the
 share of the item's question n-grams and of its answer n-grams that stand in the passage.
 
-The index goes to the executors, so items are cut into shards of at most ``shard_bytes`` of
-text, by length; each shard is one pass over the texts, with word statistics of all items.
+The indexes go to the executors, so items are cut into shards of at most ``shard_bytes`` of
+text, by length; each shard is one pass over the texts, which are hashed once for all classes of the shard. The
+shard size changes no result.
 
 Cases: null and empty texts are never hits; null, empty and wordless items are never found. Items
 with equal texts are found each. Repeated rows give repeated results; no item, no hits.
@@ -34,6 +36,9 @@ from faultlens.llm.blocks import MARKS, distinct, mix, text_slices, word_hashes
 from faultlens.operators.sizing import settle
 
 
+SHORTEST = 8  # words of the shortest length class
+
+
 @dataclass(frozen=True)
 class Settings:
     threshold: float = 0.5  # of the item's own score
@@ -71,7 +76,7 @@ def ngrams(words: np.ndarray, n: int) -> np.ndarray:
 
 @dataclass
 class Index:
-    """Posting lists of one shard of items."""
+    """Posting lists of the items of one length class in a shard."""
 
     settings: Settings
     ids: list
@@ -158,16 +163,23 @@ class Index:
         return found
 
 
-def build_index(items: list[tuple[object, str, str]], known: dict[int, int], n_items: int, average: float, s: Settings) -> Index | None:
+def length_class(words: int) -> int:
+    """Greatest number of words of an item's class: the next power of two, SHORTEST at least."""
+    return max(SHORTEST, 1 << (words - 1).bit_length())
+
+
+def build_indexes(items: list[tuple[object, str, str]], known: dict[int, int], n_items: int, average: float, s: Settings) -> list[Index]:
     """``items``: id, question, answer. ``known``: number of items with each word, of all shards."""
-    rows = []
+    classes: dict[int, list[tuple]] = {}
     for key, question, answer in items:
         q, a = hashed([question])[0], hashed([answer])[0]
         words = q if question == answer else np.concatenate((q, a))
         if len(words):
-            rows.append((key, words, q, a))
-    if not rows:
-        return None
+            classes.setdefault(length_class(len(words)), []).append((key, words, q, a))
+    return [_build(rows, 2 * longest, known, n_items, average, s) for longest, rows in sorted(classes.items())]
+
+
+def _build(rows: list[tuple], window: int, known: dict[int, int], n_items: int, average: float, s: Settings) -> Index:
     postings: dict[int, list[tuple[int, float]]] = {}
     for i, (_, words, _, _) in enumerate(rows):
         terms, tf = np.unique(words, return_counts=True)
@@ -183,16 +195,20 @@ def build_index(items: list[tuple[object, str, str]], known: dict[int, int], n_i
         lists.append((own, weight, [max(weight[k : k + s.block]) for k in range(0, len(weight), s.block)]))
     parts = [(ngrams(q, s.n), ngrams(a, s.n), ngrams(w, s.n)) for _, w, q, a in rows]
     most = np.array([max(x[1]) for x in lists])
-    return Index(s, [r[0] for r in rows], 2 * max(len(r[1]) for r in rows), terms, most, lists, parts)
+    return Index(s, [r[0] for r in rows], window, terms, most, lists, parts)
 
 
-def hits(texts: pa.Array, index: Index) -> list[tuple[int, int, float, float, float]]:
-    """(row, item number, score, question overlap, answer overlap) of verified hits, the best
+def hits(texts: pa.Array, shard: list[Index]) -> list[tuple[int, object, float, float, float]]:
+    """(row, item id, score, question overlap, answer overlap) of verified hits, the best
     passage of each row and item."""
-    s, best = index.settings, {}
     words, sizes = hashed(texts)
     if not len(words):
         return []
+    return [h for index in shard for h in _hits(words, sizes, index)]
+
+
+def _hits(words: np.ndarray, sizes: np.ndarray, index: Index) -> list[tuple[int, object, float, float, float]]:
+    s, best = index.settings, {}
     spot, term = index.spots(words)
     # Passages begin every half window; a text that ends inside one has no further passage.
     half = index.window // 2
@@ -225,7 +241,7 @@ def hits(texts: pa.Array, index: Index) -> list[tuple[int, int, float, float, fl
             q, a, whole = (_share(x, have, words[start : min(start + index.window, int(ends[r]))], s.n) for x in index.parts[item])
             if (q >= s.part and a >= s.part) or whole >= s.whole:
                 best[r, item] = max(best.get((r, item), (0.0, 0.0, 0.0)), (score, q, a))
-    return [(r, i, *v) for (r, i), v in sorted(best.items())]
+    return [(r, index.ids[i], *v) for (r, i), v in sorted(best.items())]
 
 
 def _share(part: np.ndarray, have: np.ndarray, words: np.ndarray, n: int) -> float:
@@ -239,7 +255,7 @@ def _share(part: np.ndarray, have: np.ndarray, words: np.ndarray, n: int) -> flo
     return share
 
 
-def indexes(items: DataFrame, settings: Settings = Settings(), key: str = "item_id", text: str = "text", answer: str | None = None) -> Iterator[Index]:
+def indexes(items: DataFrame, settings: Settings = Settings(), key: str = "item_id", text: str = "text", answer: str | None = None) -> Iterator[list[Index]]:
     """The shards' indexes, one after the other. With ``answer`` the text is the question."""
     s = settings
     rows = items.select(F.col(key).alias("id"), F.col(text).alias("q"), F.col(answer if answer else text).alias("a"))
@@ -262,7 +278,7 @@ def indexes(items: DataFrame, settings: Settings = Settings(), key: str = "item_
     if not facts[0] or not total_words:
         return
     shards = max(1, -(-facts[1] // s.shard_bytes))
-    # Shards by length: short items get short passages. Cut values come from a sketch of the lengths.
+    # Shards by length, so that a shard has few classes. Cut values come from a sketch of the lengths.
     cuts = sized.approxQuantile("size", [i / shards for i in range(1, shards)], 0.001) if shards > 1 else []
     bounds = [-1.0, *sorted(set(cuts)), float("inf")]
     for low, high in zip(bounds, bounds[1:]):
@@ -273,9 +289,9 @@ def indexes(items: DataFrame, settings: Settings = Settings(), key: str = "item_
             held = [(r.id, *((question_and_answer(r.q)) if split else (r.q, r.a))) for r in own.orderBy("id", "q").collect()]
             wanted = own.select("q", "a").mapInArrow(terms, "term long, words double").select("term").distinct()
             known = {r.term % (1 << 64): r.n for r in told.join(wanted, "term").select("term", "n").collect()}
-            index = build_index(held, known, facts[0], total_words / facts[0], s)
-            if index is not None:
-                yield index
+            shard = build_indexes(held, known, facts[0], total_words / facts[0], s)
+            if shard:
+                yield shard
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, settings: Settings = Settings(), key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", answer: str | None = None) -> DataFrame:
@@ -284,14 +300,14 @@ def find_leaks(docs: DataFrame, items: DataFrame, settings: Settings = Settings(
     schema = f"{kinds}, score double, question_overlap double, answer_overlap double"
     narrow = docs.select(docs[key].alias("_key"), docs[text].alias("_text"))
     out = docs.sparkSession.createDataFrame([], schema)
-    for index in indexes(items, settings, item_key, item_text, answer):
+    for shard in indexes(items, settings, item_key, item_text, answer):
 
-        def run(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], shard: list[Index] = shard) -> Iterator[pa.RecordBatch]:
             for piece in text_slices(batches, "_text"):
-                found = hits(piece.column("_text"), index)
+                found = hits(piece.column("_text"), shard)
                 if found:
                     rows, items_, score, q, a = zip(*found)
-                    columns = [piece.column("_key").take(pa.array(rows)), pa.array([index.ids[i] for i in items_])]
+                    columns = [piece.column("_key").take(pa.array(rows)), pa.array(items_)]
                     columns += [pa.array(x, pa.float64()) for x in (score, q, a)]
                     yield pa.RecordBatch.from_arrays(columns, [key, item_key, "score", "question_overlap", "answer_overlap"])
 
@@ -305,12 +321,12 @@ def remove_leaks(docs: DataFrame, items: DataFrame, settings: Settings = Setting
     schema = ", ".join(f"{c} {f.dataType.simpleString()}" for c, f in zip(columns, docs.schema.fields))
     at = f"_c{docs.columns.index(text)}"
     out = docs.toDF(*columns)
-    for index in indexes(items, settings, item_key, item_text, answer):
+    for shard in indexes(items, settings, item_key, item_text, answer):
 
-        def run(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], shard: list[Index] = shard) -> Iterator[pa.RecordBatch]:
             for piece in text_slices(batches, at):
                 keep = np.ones(piece.num_rows, bool)
-                keep[[h[0] for h in hits(piece.column(at), index)]] = False
+                keep[[h[0] for h in hits(piece.column(at), shard)]] = False
                 yield piece.filter(pa.array(keep))
 
         out = out.mapInArrow(run, schema)

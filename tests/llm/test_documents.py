@@ -322,8 +322,10 @@ def test_leaks(spark, odd, none):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     found = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(docs, items(spark)).collect()}
     assert {(1, 1), (1, 2), (3, 1), (3, 2)} <= found and not {d for d, _ in found} & {2, 5, 6}
-    small = decontaminate.Settings(shard_bytes=60)
-    assert {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(docs, items(spark), small).collect()} >= {(1, 1), (1, 2), (3, 1)}
+    assert len(found) == decontaminate.find_leaks(docs, items(spark)).count()
+    for size in (30, 60, 150, 300):
+        small = decontaminate.Settings(shard_bytes=size)
+        assert {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(docs, items(spark), small).collect()} == found
     left = decontaminate.remove_leaks(odd, items(spark))
     assert left.columns == odd.columns and left.count() == odd.count()
     assert decontaminate.find_leaks(docs, items(spark).limit(0)).count() == decontaminate.find_leaks(none, items(spark)).count() == 0
@@ -331,8 +333,9 @@ def test_leaks(spark, odd, none):
 
 
 def test_wand_equals_plain_scores(spark, documents):
-    (index,) = decontaminate.indexes(spark.read.parquet(f"{SMALL}/benchmark.parquet"))
-    for row in documents.select("text").limit(60).collect():
+    (shard,) = decontaminate.indexes(spark.read.parquet(f"{SMALL}/benchmark.parquet"))
+    assert sorted(i.window for i in shard) == [i.window for i in shard] and len(shard) > 1
+    for row, index in itertools.product(documents.select("text").limit(60).collect(), shard):
         words_, _ = decontaminate.hashed([row.text])
         for start in range(0, len(words_), index.window):
             _, terms = index.spots(np.unique(words_[start : start + index.window]))
@@ -346,6 +349,25 @@ def test_wand_equals_plain_scores(spark, documents):
                 assert {i for i, _ in index.search(terms.tolist())} == {i for i, v in plain.items() if v >= threshold - 1e-9}
 
 
+def test_windows_are_the_items_own(spark):
+    """A 16-word item near a text that holds two thirds of it: neither longer items nor shards change the result."""
+    rng = np.random.default_rng(8)
+    word = lambda n: [f"{a}{b}" for a, b in zip(rng.choice(list("abcdefgh"), n), rng.integers(0, 4000, n))]
+    short, long = word(16), word(300)
+    docs = [(1, " ".join([*word(50), *short[:7], *word(30), *short[9:], *word(50)])), (2, " ".join([*word(9), *short[:7], "x", *short[8:], *word(9)]))]
+    docs += [(3, " ".join(long[20:280])), (4, " ".join(word(400))), (5, " ".join(short))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    asked = [(1, " ".join(short)), (2, " ".join(long)), (3, " ".join(word(3))), (4, " ".join(word(40)))]
+    marks = spark.createDataFrame(asked, "item_id long, text string")
+    # Word statistics are of all items, so the comparison of shards has the same items throughout.
+    want = {tuple(r) for r in decontaminate.find_leaks(df, marks).collect()}
+    assert {r[:2] for r in want} == {(2, 1), (3, 2), (5, 1)}
+    for size in (50, 200, 1000):
+        assert {tuple(r) for r in decontaminate.find_leaks(df, marks, decontaminate.Settings(shard_bytes=size)).collect()} == want
+    assert {tuple(r)[:2] for r in decontaminate.find_leaks(df, marks.filter("item_id = 1")).collect()} == {(2, 1), (5, 1)}
+    assert [decontaminate.length_class(n) for n in (1, 8, 9, 16, 17)] == [8, 8, 16, 16, 32]
+
+
 def test_all_leaks_of_the_tables(spark, documents):
     marks = {r.item_id: r.text for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()}
     want = {(r.doc_id, i) for r in documents.collect() for i, t in marks.items() if t in r.text}
