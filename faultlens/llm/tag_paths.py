@@ -5,7 +5,9 @@ to it; over all pieces of a path, text length and punctuation are summed and div
 pieces. Both ratios are smoothed over the pieces in page order, fused (length times punctuation), and the
 paths that reach a share of the page's best fused value are content. The content node is the
 deepest element that holds nearly all content, or the article around it; all of its blocks are
-returned but those in parts that are never article text (menus, forms, adverts, reader comments, ...).
+returned but those in parts that are never article text (menus, forms, adverts, reader comments, ...). Names of parts
+are evidence: whole names of a known kind, and words that tell of comments or adverts in longer names, the
+latter weighed against where the page's text and heading are.
 
 Cases: null or empty html, and pages without content, give empty text. References are decoded once,
 after the tags are found; unknown ones stay as written. Unclosed and stray tags, tags cut off at the
@@ -43,6 +45,10 @@ MARKED = frozenset(
 #: Those that also name parts of articles: dropped only if no text in them has a tag path of the content.
 UNSURE = frozenset("discussion related recommended side foot notice notices alert social share sharing menu login promotion sponsor widget".split())
 PLACES = frozenset("left right top bottom box list section area wrapper container inner slot block panel bar links buttons unit".split())
+#: Words that tell of comments and adverts in names with any other words ("user-comments", "google-ads"): such a block
+#: goes if the rest of the page has its heading or most of its text.
+TELLING = frozenset("comment comments commenter commentlist disqus respond reply replies ads adsbygoogle advert adverts advertisement advertising sponsored".split())
+DENIED = frozenset("no not non without has have with hide disable disabled open closed off".split())
 HEADS = frozenset("header masthead topbar".split())  # not article text, unless they stand inside the article
 ARTICLE = frozenset(("article", "main"))
 PARAGRAPH_ENDS = frozenset(
@@ -72,10 +78,14 @@ def _marked(words: list[str], known: frozenset[str]) -> bool:
     return any(w in known for w in words) and all(w in MARKED or w in PLACES for w in words)
 
 
+def _tells(words: list[str]) -> bool:
+    return any(w in TELLING for w in words) and not any(w in DENIED for w in words)
+
+
 def main_text(page: str | None, share: float = SHARE, holds: float = HOLDS) -> str:
     if not page:
         return ""
-    tags, parents, never, mark, path_of = ["#"], [0], [False], [0], [0]  # elements; mark 1: not article text, 2: perhaps not
+    tags, parents, never, mark, path_of = ["#"], [0], [False], [0], [0]  # elements; mark 1: not article text, 2: perhaps not, 3: a telling name
     paths: dict[tuple[int, str], int] = {}
     stack, open_tags = [0], {}
     blocks: list[tuple[str, int, list[tuple[int, int, int]]]] = []  # text, element, its pieces
@@ -152,6 +162,8 @@ def main_text(page: str | None, share: float = SHARE, holds: float = HOLDS) -> s
                 kind = 1 if any(_marked(t, MARKED - UNSURE) for t in tokens) else 2
             if not inside and any(w in HEADS for t in tokens for w in t):
                 kind = 1
+            if kind != 1 and name not in INLINE and name not in ("body", "html") and any(_tells(t) for t in tokens):
+                kind = 3
         mark.append(kind)
         if name in RAW:
             stop = re.compile(rf"</{re.escape(name)}(?=[\s/>]|\Z)[^>]*>?", re.I).search(page, at)
@@ -167,6 +179,18 @@ def main_text(page: str | None, share: float = SHARE, holds: float = HOLDS) -> s
     for e in range(len(tags) - 1, 0, -1):
         around[parents[e]] |= around[e] and not never[e]
     mark = [0 if around[e] else k for e, k in enumerate(mark)]
+    if 3 in mark:
+        # Telling names are weighed: length and headings below each element, of text that may be the article's.
+        gone, below, heads = [False] * len(tags), np.zeros(len(tags)), np.zeros(len(tags))
+        for e in range(1, len(tags)):
+            gone[e] = gone[parents[e]] or never[e] or mark[e] == 1
+        for text, e, _ in blocks:
+            below[e] += 0 if gone[e] else len(text)
+            heads[e] += tags[e] == "h1" and not gone[e]
+        for e in range(len(tags) - 1, 0, -1):
+            below[parents[e]] += below[e]
+            heads[parents[e]] += heads[e]
+        mark = [k if k != 3 else int(2 * below[e] < below[0] or (heads[0] > 0 and not heads[e])) for e, k in enumerate(mark)]
 
     def left_out() -> list[bool]:
         out = [False] * len(tags)

@@ -98,6 +98,31 @@ def test_names_are_evidence(page, text):
     assert tag_paths.main_text(page) == text
 
 
+ARTICLE = "<h1>T</h1><p>One, two. three, four and five.</p><p>More of it, and more.</p>"
+LINES = "T\nOne, two. three, four and five.\nMore of it, and more."
+NICE = "<div><p>Nice, very nice, thanks. I liked it, a lot.</p></div>"
+
+
+@pytest.mark.parametrize("name", ['class="user-comments"', 'id="comments-thread-2"', 'id="respond"', 'class="google-ads top"', 'class="adsbygoogle"', 'class="post sponsored-links-2"'])
+@pytest.mark.parametrize("tag", ["div", "section", "ul"])
+def test_telling_names_in_longer_names(name, tag):
+    part = f"<{tag} {name}>{NICE}</{tag}>"
+    for page in (f"<article>{ARTICLE}{part}</article>", f"<body><div>{ARTICLE}</div>{part}</body>", f"<body><div>{ARTICLE}{part}</div></body>"):
+        assert tag_paths.main_text(page) == LINES
+    # More comments than article: the heading stands outside.
+    assert tag_paths.main_text(f"<article>{ARTICLE}<{tag} {name}>{NICE * 20}</{tag}></article>") == LINES
+
+
+@pytest.mark.parametrize("name", ['class="no-comments"', 'class="page-with-comments open"', 'class="post-comments-closed"', 'class="has-ads"', 'class="commentary"', 'class="ad-hoc"'])
+def test_names_that_tell_nothing(name):
+    assert tag_paths.main_text(f"<body><div {name}>{ARTICLE}</div><footer>f, g.</footer></body>") == LINES
+    assert tag_paths.main_text(f"<article><h1>T</h1><p>One, two.</p><div {name}><p>Three, four.</p></div></article>") == "T\nOne, two.\nThree, four."
+    code = '<article><h1>T</h1><p>One, two.</p><pre>x = 1 <span class="hljs-comment"># one, two</span></pre></article>'
+    assert tag_paths.main_text(code) == "T\nOne, two.\nx = 1 # one, two"
+    whole = f'<body><div class="wrap comments-thread-page">{ARTICLE}</div><p>c, d.</p></body>'
+    assert tag_paths.main_text(whole).startswith(LINES)
+
+
 @pytest.mark.parametrize("page", ["<div>" * 50_000 + "x, y" + "</b>" * 50_000, '<a "' * 20_000, "<p>x, y<p>" * 20_000, "<!--" * 20_000, "<" * 50_000])
 def test_long_pages(page):
     assert isinstance(tag_paths.main_text(page), str)
