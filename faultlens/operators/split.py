@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from faultlens.functions.binding import bind
-from faultlens.functions.draws import draw_key
+from faultlens.functions.draws import draw_key, draw_unit
 from faultlens.operators.labels import label_frequency
 from faultlens.operators.sizing import (
     IN_ROW_LIMIT,
@@ -85,8 +85,9 @@ def _rows_below(share: float, size: Column) -> Column:
     return F.coalesce(F.array_max(fitting), F.lit(0)).cast("long")
 
 
-def stratum_cuts(slim: DataFrame, shares: dict[str, float], key: str, hex_digits: int) -> DataFrame:
-    """(stratum, one cut per share): the draw of the last row inside each share, '' if none.
+def stratum_cuts(slim: DataFrame, shares: dict[str, float], key: str, hex_digits: int, ranks: DataFrame | None = None) -> DataFrame:
+    """(stratum, one cut per share): the draw of the last row inside each share, '' if none. With ``ranks``
+    (stratum, a row number for each name) the cuts are at those rows instead.
 
     Rows are counted per (stratum, first hash digits); only the buckets in which a cut falls, one
     per stratum and share, are ordered. A stratum with a third of all rows is thus never sorted
@@ -102,7 +103,10 @@ def stratum_cuts(slim: DataFrame, shares: dict[str, float], key: str, hex_digits
         F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("_before"),
         F.sum("count").over(in_stratum).alias("_size"),
     )
-    targets = F.array(*[F.struct(F.lit(n).alias("name"), _rows_below(s, F.col("_size")).alias("rank")) for n, s in shares.items()])
+    if ranks is not None:
+        counted = lookup_join(counted, ranks, "stratum")
+    rank = lambda n, s: _rows_below(s, F.col("_size")) if ranks is None else F.col(n)
+    targets = F.array(*[F.struct(F.lit(n).alias("name"), rank(n, s).alias("rank")) for n, s in shares.items()])
     wanted = counted.select("stratum", "_bucket", "count", "_before", F.inline(targets))
     inside = (F.col("rank") > F.col("_before")) & (F.col("rank") <= F.col("_before") + F.col("count"))
     cut_cells = settle(wanted.filter(inside).select("stratum", "_bucket", "_before", "name", "rank"))
@@ -153,6 +157,78 @@ def stratified_split(
     return compared.withColumn("split", split.otherwise("train")).select(*df.columns, "split")
 
 
+def label_pairs(df: DataFrame, column: str = "label_list", key: str = "id") -> DataFrame:
+    """Long (key, stratum): every pair of a row's labels, each label with itself included. Nulls are no labels.
+    Pairs are generated row by row, never held as one array."""
+    labels = df.select(key, F.array_sort(F.array_distinct(F.array_compact(column))).alias("_all"))
+    first = labels.select(key, "_all", F.posexplode("_all").alias("_at", "_a"))
+    both = first.select(key, "_a", F.explode(F.slice("_all", F.col("_at") + 1, F.size("_all"))).alias("_b"))
+    return both.select(key, F.concat(F.length("_a").cast("string"), F.lit(":"), "_a", "_b").alias("stratum"))
+
+
+def combination_split(
+    df: DataFrame,
+    column: str = "label_list",
+    key: str = "id",
+    seed: int = SEED,
+    test_share: float = TEST_SHARE,
+    validation_share: float = VALIDATION_SHARE,
+    hex_digits: int = 3,
+) -> DataFrame:
+    """Adds ``split`` so that pairs of labels keep their shares, not labels alone (second order).
+
+    A row belongs to its rarest pair, by text on ties. Pairs are dealt out in rounds, from rare to
+    frequent, a round for each factor of four in frequency, so 16 rounds for four thousand million rows. When
+    a pair's turn comes, the rows that hold it and went out with a rarer pair count against its quotas; its own rows,
+    in hash order, fill what is left of them. Fractions are rounded up with their own chance by one draw for each pair,
+    so the shares of many rare pairs add up to those of the whole. A pair all of whose rows are its own is within one row of
+    its share; rows that go out with other pairs of the same round vary like a draw by lot of as many rows.
+
+    Each round reads its own rows' pairs and writes two cut values a pair and the counts that later pairs need;
+    cuts come from counted cells (:func:`stratum_cuts`), so a pair in a third of all rows is never sorted as a
+    whole. Texts move once, in the last join by ``key``, which is unique. Rows without a label (null list, empty list,
+    nulls only) are left out.
+    """
+    pairs = settle(label_pairs(df, column, key))
+    frequency = settle(pairs.groupBy("stratum").agg(F.count("*").alias("_n")))
+    rarest = F.min(F.struct("_n", "stratum")).over(Window.partitionBy(key))
+    tier = lambda n: F.floor((F.length(F.bin(n)) - 1) / 2).cast("int")
+    rated = lookup_join(pairs, frequency, "stratum").withColumn("_rarest", rarest)
+    rated = rated.select(key, "stratum", tier("_n").alias("_turn"), F.col("_rarest.stratum").alias("_own"), tier("_rarest._n").alias("_round"))
+    # Sorted by round, so that a round skips the row groups of the others.
+    members = settle(rated.withColumn("_draw", draw_key(seed, F.col(key))).sortWithinPartitions("_round"))
+    below, chance = round(test_share + validation_share, 12), draw_unit(seed, "pair", F.col("stratum"))
+    shares = {"_test": test_share, "_val": below}
+    counts: DataFrame | None = None
+    placed: DataFrame | None = None
+    for at in sorted(r[0] for r in members.select("_round").distinct().collect()):
+        now = members.filter(F.col("_round") == at)
+        slim = now.filter("stratum = _own").select(key, "stratum", "_draw")
+        ranks = slim.groupBy("stratum").agg(F.count("*").alias("_m"))
+        if counts is None:
+            ranks = ranks.select("*", *[F.lit(0).cast("long").alias(c) for c in ("_out", "_out_test", "_out_val")])
+        else:
+            out = counts.filter(F.col("_turn") == at).groupBy("stratum").agg(*[F.sum(c).alias(c) for c in ("_out", "_out_test", "_out_val")])
+            ranks = ranks.join(out, "stratum", "left").fillna(0, ["_out", "_out_test", "_out_val"])
+        all_rows = F.col("_out") + F.col("_m")
+        within = lambda share, gone: F.least(F.col("_m"), F.floor(F.lit(share) * all_rows - gone + chance)).cast("long")
+        ranks = ranks.withColumn("_test", F.greatest(F.lit(0).cast("long"), within(test_share, F.col("_out_test"))))
+        ranks = ranks.withColumn("_val", F.greatest("_test", within(below, F.col("_out_test") + F.col("_out_val"))))
+        cuts = settle(stratum_cuts(slim, shares, key, hex_digits, settle(ranks.select("stratum", "_test", "_val"))))
+        compared = lookup_join(now, cuts.withColumnRenamed("stratum", "_own"), "_own")
+        split = F.when(F.col("_draw") <= F.col("_test"), "test").when(F.col("_draw") <= F.col("_val"), "val").otherwise("train")
+        dealt = settle(compared.select(key, "stratum", "_own", "_turn", split.alias("split")))
+        later = dealt.filter(F.col("_turn") > at).groupBy("stratum", "_turn")
+        is_in = lambda name: F.sum((F.col("split") == name).cast("long"))
+        told = settle(later.agg(F.count("*").alias("_out"), is_in("test").alias("_out_test"), is_in("val").alias("_out_val")))
+        own = dealt.filter("stratum = _own").select(key, "split")
+        counts = told if counts is None else counts.unionByName(told)
+        placed = own if placed is None else placed.unionByName(own)
+    if placed is None:
+        return df.limit(0).withColumn("split", F.lit(None).cast("string"))
+    return df.join(placed, key).select(*df.columns, "split")
+
+
 def split_report(df: DataFrame, column: str = "label_list") -> DataFrame:
     """Rows per split, and per split and label with the share of the label's rows."""
     totals = df.groupBy("split").agg(F.count("*").alias("n_rows")).select("split", F.lit("*").alias("label"), "n_rows")

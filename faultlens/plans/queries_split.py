@@ -91,3 +91,43 @@ def encode_splits(spark, folder):
 @query("kfold", "SELECT id, (ntile(3) OVER (ORDER BY id) - 1)::INTEGER AS fold FROM doc_labels")
 def kfold(spark, folder):
     return D.kfold(S.labelled_documents(spark, folder)).select("id", "fold")
+
+
+ROUNDS = 12  # frequencies up to 4**12 rows in the SQL; the operator has as many rounds as the data ask for
+
+cte(
+    "combos",
+    "SELECT DISTINCT x.id, length(x.label) || ':' || x.label || y.label AS stratum FROM doc_pairs x JOIN doc_pairs y"
+    " ON x.id = y.id AND x.label <= y.label",
+)
+cte(
+    "combo_rows",
+    "SELECT id, stratum, (length(bin(n)) - 1) // 2 AS turn, first_value(stratum) OVER w AS own,"
+    " (length(bin(first_value(n) OVER w)) - 1) // 2 AS round FROM combos JOIN"
+    " (SELECT stratum, count(*) AS n FROM combos GROUP BY 1) USING (stratum) WINDOW w AS (PARTITION BY id ORDER BY n, stratum)",
+)
+cte(
+    "combo_own",
+    "SELECT id, stratum, round, row_number() OVER (PARTITION BY own ORDER BY md5('42|' || id), id) AS place,"
+    " count(*) OVER (PARTITION BY own) AS m, ('0x' || substr(md5('42|pair|' || stratum), 1, 15))::BIGINT / 1152921504606846976.0::DOUBLE AS chance"
+    " FROM combo_rows WHERE stratum = own",
+)
+for _at in range(ROUNDS):
+    _earlier = " UNION ALL ".join(f"SELECT * FROM combo_dealt_{k}" for k in range(_at)) or "SELECT 0 AS id, '' AS split WHERE false"
+    cte(
+        f"combo_out_{_at}",
+        "SELECT stratum, count(*) AS gone, count(*) FILTER (WHERE split = 'test') AS test, count(*) FILTER (WHERE split = 'val') AS val"
+        f" FROM combo_rows JOIN ({_earlier}) USING (id) WHERE turn = {_at} GROUP BY 1",
+    )
+    cte(
+        f"combo_dealt_{_at}",
+        "SELECT id, CASE WHEN place <= t THEN 'test' WHEN place <= greatest(t, v) THEN 'val' ELSE 'train' END AS split FROM"
+        " (SELECT id, place, greatest(0, least(m, floor(CAST(0.1 AS DOUBLE) * (coalesce(gone, 0) + m) - coalesce(test, 0) + chance))) AS t,"
+        " least(m, floor(CAST(0.3 AS DOUBLE) * (coalesce(gone, 0) + m) - (coalesce(test, 0) + coalesce(val, 0)) + chance)) AS v"
+        f" FROM combo_own LEFT JOIN combo_out_{_at} USING (stratum) WHERE round = {_at})",
+    )
+
+
+@query("combination_split", " UNION ALL ".join(f"SELECT id, split FROM combo_dealt_{k}" for k in range(ROUNDS)))
+def combination_split(spark, folder):
+    return D.combination_split(S.labelled_documents(spark, folder)).select("id", "split")

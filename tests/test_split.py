@@ -1,4 +1,7 @@
 import hashlib
+import math
+import random
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -48,6 +51,54 @@ def test_rarest_label_paths_agree(spark):
     assert {r.id: r.stratum for r in D.rarest_label(df, limit=1).collect()} == short
 
 
+def pair_errors(split_of, lists):
+    """Greatest distance, over pairs, between a pair's rows in a split and its share of all its rows."""
+    held = {}
+    for i, labels in lists.items():
+        for pair in {tuple(sorted((a, b))) for a in labels for b in labels}:
+            held.setdefault(pair, []).append(split_of[i])
+    shares = (("test", 0.1), ("val", 0.2), ("train", 0.7))
+    return {p: max(abs(own.count(n) - s * len(own)) for n, s in shares) for p, own in held.items()}
+
+
+def test_pairs_keep_their_shares(spark):
+    rng = random.Random(3)
+    names = [f"l{i}" for i in range(14)]
+    lists = {i: sorted({rng.choice(names[: 2 + i % 13]) for _ in range(1 + i % 3)}) for i in range(3000)}
+    df = spark.createDataFrame(list(lists.items()), "id long, label_list array<string>")
+    got = {r.id: r.split for r in D.combination_split(df).collect()}
+    assert got.keys() == lists.keys()
+    sizes = [list(got.values()).count(s) / 3000 for s in ("test", "val", "train")]
+    assert max(abs(a - b) for a, b in zip(sizes, (0.1, 0.2, 0.7))) < 0.01
+    errors, held = pair_errors(got, lists), {}
+    pairs = {i: {tuple(sorted((a, b))) for a in labels for b in labels} for i, labels in lists.items()}
+    frequency = Counter(p for own in pairs.values() for p in own)
+    for own in pairs.values():
+        rarest = min(own, key=lambda p: (frequency[p], f"{len(p[0])}:{p[0]}{p[1]}"))
+        for p in own:
+            held.setdefault(p, []).append(p == rarest)
+    # Own rows fill the quotas but for rounding; rows dealt out by other pairs of the same round vary like draws.
+    for p, e in errors.items():
+        others = held[p].count(False)
+        assert e <= 1 + 4.5 * math.sqrt(0.21 * others), (p, e, others)
+    assert any(all(x) for x in held.values())
+    labels_only = pair_errors({r.id: r.split for r in D.stratified_split(df).collect()}, lists)
+    assert sum(errors.values()) < 0.6 * sum(labels_only.values()), (sum(errors.values()), sum(labels_only.values()))
+    again = D.combination_split(df.repartition(5), hex_digits=1)
+    assert {r.id: r.split for r in again.collect()} == got
+
+
+def test_one_pair_in_most_rows(spark):
+    rows = [(i, ["a", "b"] if i % 3 else ["a", None, "a"]) for i in range(600)] + [(600, []), (601, None), (602, [None])]
+    df = spark.createDataFrame(rows, "id long, label_list array<string>").withColumn("stratum", F.lit("clash"))
+    out = D.combination_split(df)
+    assert out.columns == ["id", "label_list", "stratum", "split"] and sum(counts(out)) == 600
+    assert all(abs(n - w) <= 2 for n, w in zip(counts(out), (60, 120, 420)))
+    assert all(abs(n - w) <= 2 for n, w in zip(counts(out.filter(F.array_contains("label_list", "b"))), (40, 80, 280)))
+    none = D.combination_split(df.limit(0))
+    assert none.count() == 0 and none.columns == out.columns
+
+
 def test_vocabulary_and_encoding(spark):
     df = spark.createDataFrame(
         [(1, ["b", "a"], "train"), (2, ["c"], "test"), (3, ["a", "c"], "val"), (4, ["b"], "train")],
