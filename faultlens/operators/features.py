@@ -9,10 +9,11 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.ml.feature import CountVectorizerModel
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from faultlens.functions import text as T
 from faultlens.operators.sizing import has_at_most, lookup_join, settle, with_position
@@ -154,16 +155,31 @@ def tfidf_ml_vectors(df: DataFrame, weights: DataFrame, terms: str = "terms", ou
     return vectors.drop("_counts", "_weighted"), [t for t, _ in held]
 
 
-def embed(df: DataFrame, encoder: Callable[[list[str]], np.ndarray], text: str = "processed_text") -> DataFrame:
-    """Dense vector per text from any batch encoder, run in Arrow batches on the executors."""
+Encoder = Callable[[list[str]], np.ndarray]
 
-    @F.pandas_udf("array<float>")
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            vectors = np.asarray(encoder(batch.fillna("").tolist()), dtype=np.float32)
-            yield pd.Series(list(vectors))
 
-    return df.withColumn("embedding", encode(F.col(text)))
+def by_length(encoder: Encoder, texts: list[str], batch: int) -> np.ndarray:
+    """The encoder's vectors in the order of ``texts``; it is asked for texts of like length together."""
+    order = np.argsort([len(t) for t in texts], kind="stable")
+    parts = [order[i : i + batch] for i in range(0, len(order), batch)]
+    vectors = np.concatenate([np.asarray(encoder([texts[i] for i in part]), np.float32) for part in parts])
+    out = np.empty_like(vectors)
+    out[order] = vectors
+    return out
+
+
+def embed(df: DataFrame, load: Callable[[], Encoder], text: str = "processed_text", batch: int = 64, rows: int = 1024) -> DataFrame:
+    """Dense vector per text from any batch encoder; null text is empty.
+
+    ``load`` makes the encoder: it runs once in each Python worker, so that a model is read there and never
+    travels with the plan. Of every ``rows`` texts those of like length share a batch, which keeps padding short."""
+
+    def make():
+        encoder = load()
+        return lambda texts: by_length(encoder, texts.tolist(), batch)
+
+    encode = predict_batch_udf(make, return_type=ArrayType(FloatType()), batch_size=rows)
+    return df.withColumn("embedding", encode(F.coalesce(F.col(text), F.lit(""))))
 
 
 def fit_scaler(df: DataFrame, column: str = "embedding") -> DataFrame:

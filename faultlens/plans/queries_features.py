@@ -106,7 +106,7 @@ def letter_counts(texts: list[str]) -> np.ndarray:
     + " FROM documents",
 )
 def embed(spark, folder):
-    vectors = X.embed(table(spark, folder, "documents").select("doc_id", "text"), letter_counts, "text")
+    vectors = X.embed(table(spark, folder, "documents").select("doc_id", "text"), lambda: letter_counts, "text")
     return vectors.select("doc_id", *[F.col("embedding")[i].alias(f"e{i}") for i in range(len(LETTERS))])
 
 

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from faultlens.functions import paths as P
 from faultlens.functions import text as T
 from faultlens.operators import ingest as A
 from faultlens.operators.audit import settle_counted
-from faultlens.operators.sizing import require_columns, unmatched_ids
+from faultlens.operators.sizing import require_columns, shared_folder, unmatched_ids
 from faultlens.plans import stand_ins as S
 from faultlens.plans.registry import query, table
+from faultlens.sources import files
 
 AREA = "ASIA"
 SELECTED = f"item_type = 'Bug' AND (area_path = '{AREA}' OR starts_with(area_path, '{AREA}' || chr(92))) AND state = 'Closed'"
@@ -202,3 +205,12 @@ def skipped_rows(spark, folder):
     known = S.commit_changes(spark, folder).select("commit_id").distinct().withColumn("known", F.lit(True))
     _, found = settle_counted(links.join(known, "commit_id", "left"), "commits", {"no such commit": F.col("known").isNull()})
     return read.unionByName(followed).unionByName(found)
+
+
+@query("csv_splits", "SELECT doc_id, coalesce(text, '') AS text, coalesce(lang, '') AS lang FROM documents")
+def csv_splits(spark, folder):
+    """Texts written as quoted CSV and read back, every file by as many tasks as it has splits."""
+    texts = table(spark, folder, "documents").select("doc_id", *[F.coalesce(c, F.lit("")).alias(c) for c in ("text", "lang")])
+    path = f"{shared_folder(spark).rstrip('/')}/faultlens-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    files.write_csv(texts, path)
+    return files.read_split_csv(spark, path, "doc_id long, text string, lang string")

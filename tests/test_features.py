@@ -1,4 +1,7 @@
 import math
+import os
+import uuid
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -64,5 +67,36 @@ def test_scaler(spark):
 
 def test_embed_uses_the_encoder(spark):
     df = spark.createDataFrame([(1, "ab"), (2, None)], "id long, processed_text string")
-    out = X.embed(df, lambda ts: np.array([[len(t), 1.0] for t in ts]))
+    out = X.embed(df, lambda: lambda ts: np.array([[len(t), 1.0] for t in ts]))
     assert {r.id: r.embedding for r in out.collect()} == {1: [2.0, 1.0], 2: [0.0, 1.0]}
+
+
+def test_encoder_is_loaded_once_per_worker(spark, tmp_path):
+    folder = str(tmp_path)
+
+    def load():
+        open(f"{folder}/{os.getpid()}-{uuid.uuid4().hex}", "w").close()
+        return lambda ts: np.array([[os.getpid(), len(t), max(map(len, ts)) - min(map(len, ts))] for t in ts])
+
+    texts = [(i, "x" * (i * 37 % 101)) for i in range(3000)]
+    df = spark.createDataFrame(texts, "id long, processed_text string").repartition(24)
+    for batch, rows in ((1, 100), (8, 100), (64, 1024), (5000, 7)):
+        got = X.embed(df, load, batch=batch, rows=rows).collect()
+        assert all(r.embedding[1] == len(r.processed_text) for r in got) and len(got) == 3000
+        loads = [name.split("-")[0] for name in os.listdir(folder)]
+        assert {int(r.embedding[0]) for r in got} <= set(map(int, loads))
+        # One load for each worker and plan: four plans so far at most.
+        assert max(Counter(loads).values()) <= 4
+        assert batch > 1 or all(r.embedding[2] == 0 for r in got)
+    assert X.embed(df.limit(0), load).count() == 0
+
+
+def test_batches_of_like_length():
+    seen = []
+
+    def encoder(texts):
+        seen.append([len(t) for t in texts])
+        return np.array([[len(t)] for t in texts])
+
+    texts = ["aaa", "", "a", "aaaa", "aa"]
+    assert X.by_length(encoder, texts, 2)[:, 0].tolist() == [3, 0, 1, 4, 2] and seen == [[0, 1], [2, 3], [4]]
