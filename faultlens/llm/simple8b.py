@@ -20,6 +20,7 @@ An empty table writes no block and reads back no row.
 from __future__ import annotations
 
 import functools
+import os
 import struct
 import unicodedata
 import zlib
@@ -52,18 +53,27 @@ def pack(codes: np.ndarray) -> np.ndarray:
     n = len(codes)
     if not n:
         return np.empty(0, np.uint64)
-    best = np.full(n, len(SELECTORS) - 1, np.int8)
-    for s in range(len(SELECTORS) - 2, -1, -1):
+    top = int(codes.max()).bit_length()
+    small = codes.astype(np.uint16) if top <= 16 else codes
+    last = len(SELECTORS) - 1
+    while last and SELECTORS[last - 1][1] >= top:
+        last -= 1  # every code fits here, and more of them
+    best = np.full(n, last, np.int8)
+    for s in range(last - 1, -1, -1):
         many, bits = SELECTORS[s]
         # Between two codes that are too wide, every place with enough codes ahead takes the selector;
         # behind the end nothing is too wide, as zeros fill the last word up.
-        wide = np.concatenate(([-1], np.flatnonzero(codes >= (1 << bits)), [n + 60]))
-        starts, stops = wide[:-1] + 1, np.minimum(wide[1:] - many + 1, n)
-        held = starts < stops
-        edge = np.zeros(n + 1, np.int8)
-        edge[starts[held]] = 1
-        edge[stops[held]] -= 1
-        best[np.cumsum(edge[:n], dtype=np.int8).view(bool)] = s
+        wide = np.concatenate(([-1], np.flatnonzero(small >= (1 << bits)), [n + 60]))
+        held = np.flatnonzero(np.diff(wide) > many)
+        starts, stops = wide[held] + 1, np.minimum(wide[held + 1] - many + 1, n)
+        if len(held) * 50 > n:
+            edge = np.zeros(n + 1, np.int8)
+            edge[starts] = 1
+            edge[stops] -= 1
+            best[np.cumsum(edge[:n], dtype=np.int8).view(bool)] = s
+        else:
+            for start, stop in zip(starts.tolist(), stops.tolist()):
+                best[start:stop] = s
     step = np.array([c for c, _ in SELECTORS])[best].tolist()
     starts, i = [], 0
     while i < n:
@@ -134,6 +144,7 @@ class WordIds:
     """Ids of words, each word encoded once while it is held."""
 
     def __init__(self, model: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; the library's threads would wait for others
         self.tokenizer = Tokenizer.from_str(model)
         self.tokenizer.encode_special_tokens = True
         vocabulary = self.tokenizer.get_vocab()

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import os
 import random
 import zlib
 
@@ -110,3 +111,22 @@ def test_words_of_any_characters():
 
 def test_query_rows(spark):
     assert catalog.QUERIES["op2_simple8b"](spark, SMALL).count() == catalog.QUERIES["op10_bpe_replay"](spark, SMALL).count() == 200
+
+
+def test_packing_takes_the_most_codes_that_fit():
+    """Against a plain search at every place; few and many places that are too wide."""
+    rng = np.random.default_rng(3)
+    for k in range(300):
+        codes = (rng.integers(0, 1 << int(rng.integers(1, 50)), int(rng.integers(1, 300))) * (rng.random() < 0.9)).astype(np.int64)
+        codes[rng.random(len(codes)) < rng.random()] = 1
+        words, at, want = simple8b.pack(codes), 0, []
+        while at < len(codes):
+            want.append(next(s for s, (many, bits) in enumerate(simple8b.SELECTORS) if (codes[at : at + many] < 1 << bits).all()))
+            at += simple8b.SELECTORS[want[-1]][0]
+        assert (words >> np.uint64(60)).tolist() == want and simple8b.unpack(words, len(codes)).tolist() == codes.tolist()
+
+
+def test_a_task_encodes_on_its_own_core():
+    with open(P.path("word_bpe_49k.json"), encoding="utf-8") as file:
+        simple8b.WordIds(file.read())
+    assert os.environ["TOKENIZERS_PARALLELISM"] == "false"
