@@ -9,8 +9,8 @@ selector, whole arrays at a time, and every word's place in the output is a runn
 
 Files: rows are range-partitioned and sorted by document id; each task cuts its rows into blocks and
 writes rows (part, block, before: ids of the part in earlier blocks, ids, keys, payload). A
-document is never split. Words between ASCII white space are encoded once each for as long as a
-bounded memory of the task holds them; white space separates tokens in this vocabulary, so a text's ids are its words' ids.
+document is never split. A text is cut into units that no token spans (words and the marks around them),
+and each unit is encoded once for as long as a bounded memory of the task holds it; a text's ids are its units' ids.
 
 Cases: null and empty texts are the end id alone. Rows with a null key come first; equal keys are
 ordered by a hash of the text, and each row is a document. Special tokens' strings are ordinary text.
@@ -24,12 +24,11 @@ import os
 import struct
 import unicodedata
 import zlib
-from collections import defaultdict
 from collections.abc import Iterator
-from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -37,13 +36,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 from tokenizers import Tokenizer
 
-from faultlens.llm.blocks import text_slices
+from faultlens.llm.blocks import text_slices, utf8
 
 BLOCK = 1 << 18  # ids from which a block is closed
-KNOWN = 400_000  # words whose ids a task holds at a time
+KNOWN = 400_000  # units whose ids a task holds at a time
 DICTIONARY = 1 << 14  # entries of a block's dictionary at most; rarer ids are escaped
 # (codes in a word, bits of a code) by selector: the coding's fixed values.
 SELECTORS = [(60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60)]
+_SELECTOR = np.zeros(61, np.int8)
+_SELECTOR[[many for many, _ in SELECTORS]] = np.arange(len(SELECTORS))
+_POWERS = 1 << np.arange(61)
+_WIDTHS = np.searchsorted(_POWERS, np.arange(1 << 16), side="right").astype(np.uint8)
 _MAGIC = b"S8B1"
 _HEAD = struct.Struct("<4s5I")
 
@@ -53,34 +56,22 @@ def pack(codes: np.ndarray) -> np.ndarray:
     n = len(codes)
     if not n:
         return np.empty(0, np.uint64)
-    top = int(codes.max()).bit_length()
-    small = codes.astype(np.uint16) if top <= 16 else codes
-    last = len(SELECTORS) - 1
-    while last and SELECTORS[last - 1][1] >= top:
-        last -= 1  # every code fits here, and more of them
-    best = np.full(n, last, np.int8)
-    for s in range(last - 1, -1, -1):
-        many, bits = SELECTORS[s]
-        # Between two codes that are too wide, every place with enough codes ahead takes the selector;
-        # behind the end nothing is too wide, as zeros fill the last word up.
-        wide = np.concatenate(([-1], np.flatnonzero(small >= (1 << bits)), [n + 60]))
-        held = np.flatnonzero(np.diff(wide) > many)
-        starts, stops = wide[held] + 1, np.minimum(wide[held + 1] - many + 1, n)
-        if len(held) * 50 > n:
-            edge = np.zeros(n + 1, np.int8)
-            edge[starts] = 1
-            edge[stops] -= 1
-            best[np.cumsum(edge[:n], dtype=np.int8).view(bool)] = s
-        else:
-            for start, stop in zip(starts.tolist(), stops.tolist()):
-                best[start:stop] = s
-    step = np.array([c for c, _ in SELECTORS])[best].tolist()
+    widths = np.searchsorted(_POWERS, codes, side="right") if codes.max() >> 16 else _WIDTHS[codes]
+    # The greatest width of the next codes, for longer and longer stretches: each is two of the one before
+    # that overlap. Behind the end all widths are zero, as zeros fill the last word up.
+    widest, held = np.append(widths.astype(np.uint8), np.zeros(60, np.uint8)), 1
+    step = np.ones(n, np.uint8)
+    for many, bits in reversed(SELECTORS):
+        widest = np.maximum(widest[: len(widest) - (many - held)], widest[many - held :])
+        held = many
+        np.copyto(step, many, where=widest[:n] <= bits)
+    jump = step.tobytes()
     starts, i = [], 0
     while i < n:
         starts.append(i)
-        i += step[i]
+        i += jump[i]
     starts = np.array(starts)
-    chosen = best[starts]
+    chosen = _SELECTOR[step[starts]]
     words = chosen.astype(np.uint64) << np.uint64(60)
     padded = np.append(codes.astype(np.uint64), np.zeros(60, np.uint64))
     for s, (many, bits) in enumerate(SELECTORS):
@@ -134,14 +125,39 @@ def read_block(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
     return parts[0].astype(np.int64), ids
 
 
-def _split(text: str) -> list[bytes]:
-    """Words between ASCII white space. The normaliser lower-cases them; where no accents can join
-    letters before it does, that is done here, so that spellings meet."""
-    return (text.encode().lower() if text.isascii() else text.encode()).split()
+# Kinds of bytes: white space, letters, digits, marks, apostrophes, bytes of other characters.
+_KIND = np.full(256, 5, np.uint8)
+_KIND[:128] = [0 if chr(b) in " \t\n\v\f\r" else 1 if chr(b).isalpha() else 2 if chr(b).isdigit() else 4 if chr(b) == "'" else 3 for b in range(128)]
+# Whether a unit starts at a byte, by the kind of the byte before it (times 8) and its own.
+_STARTS = np.zeros(48, bool)
+_STARTS[1:6] = True
+_STARTS[[8 * a + b for a, b in ((1, 2), (1, 3), (1, 4), (2, 1), (2, 2), (2, 3), (2, 4), (3, 1), (3, 2))]] = True
+
+
+def units(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The parts of all texts that have the same ids wherever they stand, and how many each text has.
+    Texts are cut at ASCII white space, and where two of ASCII letters, digits and marks meet, or two
+    digits: no piece of the pre-tokenizer holds such a place (behind an apostrophe one may, so none is
+    cut there), and no accent joins characters over it. The normaliser lower-cases them; a letter
+    with an ASCII character behind it, which no accent joins before that, is so here, and spellings meet."""
+    data, offsets = utf8(texts)
+    upper = (data >= 65) & (data <= 90)
+    upper[:-1] &= data[1:] < 128
+    data = data + (upper.view(np.uint8) << 5)
+    kind = _KIND[data]
+    first = kind > 0
+    body = first.copy()
+    at_start = np.zeros(len(data) + 1, bool)
+    at_start[offsets] = True
+    first[1:] &= _STARTS[(kind[:-1] << 3) + kind[1:]] | at_start[1:-1]
+    counts = np.diff(np.searchsorted(np.flatnonzero(first), offsets))
+    held = data[body]
+    starts = np.append(np.flatnonzero(first[body]), len(held))
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts) - 1, [None, pa.py_buffer(starts), pa.py_buffer(held)]), counts
 
 
 class WordIds:
-    """Ids of words, each word encoded once while it is held."""
+    """Ids of units, each unit encoded once while it is held."""
 
     def __init__(self, model: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; the library's threads would wait for others
@@ -151,79 +167,66 @@ class WordIds:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         for token, i in vocabulary.items():
             self.ends[i] = token.endswith("</w>")
-        # The pre-tokenizer's pattern, to know how many pieces a word has: a fixed value of the vocabulary.
+        # The pre-tokenizer's pattern, to know how many pieces a unit has: a fixed value of the vocabulary.
         self.pieces = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
         self.clear()
 
     def clear(self) -> None:
-        self.number: dict[bytes, int] = defaultdict(count().__next__)
-        self.flat, self.sizes, self.starts = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.words, self.ids = pa.array([], pa.large_binary()), pa.array([], pa.large_list(pa.uint32()))
         self.uses = np.empty(0, np.int64)
 
     def keep_common(self, known: int) -> None:
-        """Forget the words that came once; all of them if too many are left."""
+        """Forget the units that came once; all of them if too many are left."""
         held = np.flatnonzero(self.uses > 1)
         if 2 * len(held) > known:
             self.clear()
             return
-        words = list(self.number)
-        sizes = self.sizes[held]
-        flat = self.flat[np.arange(int(sizes.sum())) + np.repeat(self.starts[held] - (np.cumsum(sizes) - sizes), sizes)]
-        self.clear()
-        for i in held.tolist():
-            self.number[words[i]]
-        self.flat, self.sizes, self.starts, self.uses = flat, sizes, np.cumsum(sizes) - sizes, np.ones(len(held), np.int64)
-
-    def learn(self) -> None:
-        """Encode the words that came since the last call."""
-        fresh = [w.decode() for w in islice(self.number, len(self.sizes), None)]
-        if not fresh:
-            return
-        sizes, starts, flat = np.zeros(len(fresh), np.int64), np.zeros(len(fresh), np.int64), [self.flat]
-        # Words of known pieces are encoded fifty at a time; every piece ends with an end token.
-        plain, alone = [], []
-        for i, w in enumerate(fresh):
-            (plain if w.isascii() or (len(w.lower()) == len(w) and unicodedata.is_normalized("NFC", w)) else alone).append(i)
-        at = len(self.flat)
-        groups = [plain[i : i + 50] for i in range(0, len(plain), 50)]
-        texts = [[fresh[i] for i in g] for g in groups]
-        for group, words, encoded in zip(groups, texts, self.tokenizer.encode_batch_fast([" ".join(t) for t in texts], add_special_tokens=False)):
-            ids = np.array(encoded.ids, np.uint32)
-            stops = np.flatnonzero(self.ends[ids]) + 1
-            number = np.cumsum([1 if w.isalpha() else len(self.pieces(w.lower())) for w in words])
-            if len(stops) != number[-1] or (len(ids) and stops[-1] != len(ids)):
-                alone += group
-                continue
-            cuts = np.append(0, stops)[np.append(0, number)]
-            sizes[group] = cuts[1:] - cuts[:-1]
-            starts[group] = at + cuts[:-1]
-            flat.append(ids)
-            at += len(ids)
-        for i, encoded in zip(alone, self.tokenizer.encode_batch_fast([fresh[i] for i in alone], add_special_tokens=False)):
-            sizes[i], starts[i] = len(encoded.ids), at
-            flat.append(np.array(encoded.ids, np.uint32))
-            at += len(encoded.ids)
-        self.flat, self.sizes, self.starts = np.concatenate(flat), np.append(self.sizes, sizes), np.append(self.starts, starts)
-
-    def encode(self, texts: list[str | None], end: int, known: int) -> tuple[np.ndarray, np.ndarray]:
+        self.words, self.ids, self.uses = self.words.take(pa.array(held)), self.ids.take(pa.array(held)), np.ones(len(held), np.int64)
+
+    def _batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, and their number for each text."""
+        ids = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.concatenate([np.empty(0, np.uint32), *ids]), np.fromiter(map(len, ids), np.int64, len(ids))
+
+    def learn(self, fresh: pa.Array) -> None:
+        """Encode units that are not held, and hold them."""
+        words = fresh.cast(pa.large_string()).to_pylist()
+        # Units of known pieces are encoded fifty at a time; every piece ends with an end token.
+        plain = np.array([w.isascii() or (len(w.lower()) == len(w) and unicodedata.is_normalized("NFC", w)) for w in words], bool)
+        together = np.flatnonzero(plain)
+        known = [words[i] for i in together.tolist()]
+        pieces = np.array([1 if w.isalpha() else len(self.pieces(w.lower())) for w in known], np.int64)
+        flat, tokens = self._batch([" ".join(known[i : i + 50]) for i in range(0, len(known), 50)])
+        group = np.arange(len(known)) // 50
+        ends, stops = self.ends[flat], np.cumsum(tokens)
+        found = np.diff(np.append(0, np.cumsum(ends))[np.append(0, stops)])
+        right = (found == np.bincount(group, pieces, len(tokens))) & ((tokens == 0) | np.append(True, ends)[stops])
+        flat, pieces = flat[np.repeat(right, tokens)], pieces[right[group]]
+        plain[together[~right[group]]] = False
+        cuts = np.append(0, np.flatnonzero(self.ends[flat]) + 1)[np.append(0, np.cumsum(pieces))]
+        alone = np.flatnonzero(~plain)
+        rest, sizes = self._batch([words[i] for i in alone.tolist()])
+        order = np.argsort(np.append(np.flatnonzero(plain), alone))
+        lists = pa.LargeListArray.from_arrays(np.append(cuts, len(flat) + np.cumsum(sizes)), np.append(flat, rest))
+        self.words = pa.concat_arrays([self.words, fresh])
+        self.ids = pa.concat_arrays([self.ids, lists.take(pa.array(order)) if len(alone) else lists])
+        self.uses = np.append(self.uses, np.zeros(len(words), np.int64))
+
+    def encode(self, texts: list[str | None] | pa.Array, end: int, known: int) -> tuple[np.ndarray, np.ndarray]:
         """Lengths (with the end id) and ids of all texts."""
-        if len(self.number) > known:
+        if len(self.words) > known:
             self.keep_common(known)
-        words = [np.fromiter(map(self.number.__getitem__, found), np.int64, len(found)) for found in (_split(t or "") for t in texts)]
-        self.learn()
-        each = np.array([len(w) for w in words], np.int64)
-        word = np.concatenate(words) if words else np.empty(0, np.int64)
-        self.uses = np.append(self.uses, np.zeros(len(self.sizes) - len(self.uses), np.int64)) + np.bincount(word, minlength=len(self.sizes))
-        sizes = self.sizes[word]
-        doc = np.repeat(np.arange(len(texts)), each)
-        lengths = np.bincount(doc, sizes, len(texts)).astype(np.int64) + 1
-        total = int(lengths.sum())
-        ids = np.full(total, end, np.uint32)
-        body = np.ones(total, bool)
-        body[np.cumsum(lengths) - 1] = False
-        flat = np.arange(int(sizes.sum())) + np.repeat(self.starts[word] - (np.cumsum(sizes) - sizes), sizes)
-        ids[body] = self.flat[flat]
-        return lengths, ids
+        found, each = units(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()))
+        coded = found.dictionary_encode()
+        place = pc.fill_null(pc.index_in(coded.dictionary, value_set=self.words), -1).to_numpy().astype(np.int64)
+        fresh, index = place < 0, coded.indices.to_numpy()
+        place[fresh] = len(self.words) + np.arange(np.count_nonzero(fresh))
+        if fresh.any():
+            self.learn(coded.dictionary.filter(pa.array(fresh)))
+        self.uses[place] += np.bincount(index, minlength=len(place))
+        lists = self.ids.take(pa.array(place[index]))
+        stops = lists.offsets.to_numpy()[np.cumsum(each)] - lists.offsets[0].as_py()
+        return np.diff(stops, prepend=0) + 1, np.insert(lists.flatten().to_numpy(), stops, np.uint32(end))
 
 
 @functools.lru_cache(maxsize=2)
@@ -259,7 +262,7 @@ def write_ids(docs: DataFrame, folder: str, path: str, end: int, key: str = "doc
             return pa.RecordBatch.from_arrays([*counts, listed, pa.array([payload])], ["part", "block", "before", "ids", "keys", "payload"])
 
         for piece in text_slices(batches, "_text"):
-            sizes, found = encoder.encode(piece.column("_text").to_pylist(), end, known)
+            sizes, found = encoder.encode(piece.column("_text"), end, known)
             # Blocks close at the document that reaches the size.
             ends, start = np.cumsum(sizes), 0
             while start < len(sizes):

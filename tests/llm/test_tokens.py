@@ -130,3 +130,48 @@ def test_a_task_encodes_on_its_own_core():
     with open(P.path("word_bpe_49k.json"), encoding="utf-8") as file:
         simple8b.WordIds(file.read())
     assert os.environ["TOKENIZERS_PARALLELISM"] == "false"
+
+
+class _Recorder:
+    """The tokenizer, with the units it was asked for."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.asked = tokenizer, []
+
+    def encode_batch_fast(self, texts, **more):
+        self.asked += [w for t in texts for w in t.split(" ")]
+        return self.tokenizer.encode_batch_fast(texts, **more)
+
+
+def test_a_unit_is_encoded_once_whatever_stands_around_it():
+    with open(P.path("word_bpe_49k.json"), encoding="utf-8") as file:
+        encoder = simple8b.WordIds(file.read())
+    encoder.tokenizer = recorder = _Recorder(encoder.tokenizer)
+    texts = ["Word word, (word) word-word WORD. Grün grün, it's 1212", None, "", "grün. word; 21"]
+    lengths, ids = encoder.encode(texts, 2, 10**6)
+    for text, own in zip(texts, np.split(ids, np.cumsum(lengths)[:-1])):
+        assert own.tolist() == WORDS.encode(text or "", add_special_tokens=False).ids + [2]
+    assert sorted(recorder.asked) == sorted(["word", ",", "(", ")", "-", ".", "grün", "it", "'s", "1", "2", ";"])
+    encoder.encode(["word (grün)"], 2, 10**6)
+    assert len(recorder.asked) == 12
+
+
+with open(P.path("word_bpe_49k.json"), encoding="utf-8") as _file:
+    _ENCODER = simple8b.WordIds(_file.read())
+
+
+@pytest.mark.parametrize("texts", [[], [None], ["\u0085"], ["\xa0 \u3000", "e\u0301"]])
+def test_texts_without_plain_units(texts):
+    _ENCODER.clear()
+    lengths, ids = _ENCODER.encode(texts, 2, 10**6)
+    want = [WORDS.encode(t or "", add_special_tokens=False).ids + [2] for t in texts]
+    assert lengths.tolist() == list(map(len, want)) and ids.tolist() == sum(want, [])
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from("aHsSTLl19''\"<=.-_ \n\x0b\x00\x1c \u0085̸̱́éßİΣ日²Ⅷ—🙂|>"), max_size=40), max_size=6), st.sampled_from([0, 5, 10**6]))
+def test_units_have_the_ids_of_the_whole_text(texts, known):
+    for _ in range(2):
+        lengths, ids = _ENCODER.encode(texts, 2, known)
+        for text, own in zip(texts, np.split(ids, np.cumsum(lengths)[:-1])):
+            assert own.tolist() == WORDS.encode(text, add_special_tokens=False).ids + [2]
