@@ -128,6 +128,8 @@ def score(df: DataFrame, fitted: LabelModels, out: str = "scores") -> DataFrame:
             columns.append(F.lit(model))
             continue
         model = model.copy()
+        if getattr(model, "hasSummary", False):  # it holds the session, which cannot be sent along once metrics were observed
+            model._java_obj.setSummary(df.sparkSession._jvm.scala.Option.empty())
         model.setFeaturesCol("_x").setPredictionCol(f"_p{i}").setRawPredictionCol(f"_r{i}")
         if hasattr(model, "setProbabilityCol"):
             model.setProbabilityCol(f"_q{i}")
